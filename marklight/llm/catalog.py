@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.llm import groups, terms
+from marklight.llm import groups, terms, truncation
 
-MODULES = [groups, terms]
+MODULES = [groups, terms, truncation]
 
 
 def queries() -> dict:
