@@ -21,6 +21,7 @@ def local_session(app: str = "marklight", cores: int | str = "*", partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MARKLIGHT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
