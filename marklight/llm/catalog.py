@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.llm import groups, terms, truncation
+from marklight.llm import groups, spans, terms, truncation
 
-MODULES = [groups, terms, truncation]
+MODULES = [groups, spans, terms, truncation]
 
 
 def queries() -> dict:
