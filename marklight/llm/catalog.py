@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.llm import groups, setjoin, spans, terms, truncation
+from marklight.llm import groups, nearcopies, setjoin, spans, terms, truncation
 
-MODULES = [groups, setjoin, spans, terms, truncation]
+MODULES = [groups, nearcopies, setjoin, spans, terms, truncation]
 
 
 def queries() -> dict:
