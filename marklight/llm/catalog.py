@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.llm import groups, nearcopies, pii, setjoin, spans, terms, truncation
+from marklight.llm import groups, mixing, nearcopies, packing, pii, setjoin, spans, terms, truncation
 
-MODULES = [groups, nearcopies, pii, setjoin, spans, terms, truncation]
+MODULES = [groups, mixing, nearcopies, packing, pii, setjoin, spans, terms, truncation]
 
 
 def queries() -> dict:

@@ -77,9 +77,7 @@ def term_counts(sequences: DataFrame, max_terms: int = 1, hot_rows: int = 200_00
 
 def marked(counts: DataFrame, total: DataFrame, rare_below: int = 3, common_above: float = 0.25) -> DataFrame:
     """``counts`` with ``mark``: ``rare``, ``common`` or null. ``total`` is one row with the number of records."""
-    return counts.crossJoin(F.broadcast(total.select(F.first("total").alias("total")))).withColumn(
-        "mark", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * F.col("total"), "common")
-    )
+    return counts.withColumn("mark", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * total.select("total").scalar(), "common"))
 
 
 def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
