@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.plans import logs
+from marklight.plans import logs, similarity
 
-MODULES = [logs]
+MODULES = [logs, similarity]
 
 
 def queries() -> dict:
