@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.plans import logs, similarity
+from marklight.plans import logs, runs, similarity
 
-MODULES = [logs, similarity]
+MODULES = [logs, runs, similarity]
 
 
 def queries() -> dict:
