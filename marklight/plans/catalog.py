@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marklight.plans import logs, runs, similarity
+from marklight.plans import logs, runs, similarity, streams
 
-MODULES = [logs, runs, similarity]
+MODULES = [logs, runs, similarity, streams]
 
 
 def queries() -> dict:
