@@ -63,7 +63,10 @@ def rate_limit(events: DataFrame, every: float = 300.0, burst: float = 3.0) -> D
 
 
 def rate_limit_stream(events: DataFrame, every: float = 300.0, burst: float = 3.0, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """The same over a stream; a key's bucket is forgotten ``ttl_ms`` after its last event."""
+    """The same over a stream; a key's bucket is forgotten once the watermark is ``ttl_ms`` past its last event.
+
+    The timeout goes by event time: one by the clock would keep a stream that is to use up its input running for ever.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,12 +77,13 @@ def rate_limit_stream(events: DataFrame, every: float = 300.0, burst: float = 3.
         pdf = pd.concat(list(batches)).sort_values(["at", "id"])
         allowed = [bucket.allow(at) for at in pdf["at"]]
         state.update((bucket.tokens, bucket.last))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(int(bucket.last * 1000) + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "id": pdf["id"], "allowed": allowed})
 
-    e = events.where("key is not null and ts is not null").select("key", "id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    e = timed.where("key is not null and ts is not null").select("key", "id", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
     kinds = {f.name: f.dataType.simpleString() for f in e.schema}
-    return e.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, id {kinds['id']}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, id {kinds['id']}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
