@@ -148,8 +148,9 @@ def common_words(texts: DataFrame, share: float = 0.05) -> DataFrame:
 
     Mailboxes are left out first: they hold names in lower case. Counts combine map-side.
     """
-    bare = F.regexp_replace("text", r"(?i)\S*(@|&#64;|[(\[{]\s*(at|a|@)\s*[)\]}]| at (?=\S+ dot ))\s*\S+( (dot|\(dot\)|\[dot\]) \S+)*|\S+ ?(?=[(\[{]at[)\]}])|\S+(?= @ | at \S+ dot )|https?://\S+", " ")
-    w = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(r"(?<![\p{L}\p{N}_.@+-])\p{L}{2,}(?![\p{L}\p{N}_@]|[.+]\p{L})"), F.lit(0))).alias("w"))
+    # by blank-separated pieces: a pattern that looks for the ends of a mailbox would be quadratic in a very long piece
+    piece = texts.select(F.explode(F.split("text", r"\s+")).alias("p")).where(~F.col("p").rlike(r"(?i)@|&#64;|&commat;|[(\[{](at|a)[)\]}]|://"))
+    w = piece.select(F.explode(F.regexp_extract_all("p", F.lit(r"(?<![\p{L}\p{N}_.@+-])\p{L}{2,}+(?![\p{N}_@]|[.+]\p{L})"), F.lit(0))).alias("w"))
     c = w.groupBy(F.lower("w").alias("word")).agg(F.sum(F.when(F.col("w") == F.lower("w"), 1).otherwise(0)).alias("low"), F.count(F.lit(1)).alias("n"))
     return c.where(F.col("low") > share * F.col("n")).select("word")
 
