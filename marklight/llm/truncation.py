@@ -75,7 +75,9 @@ def truncated(texts: DataFrame) -> DataFrame:
     t = t.withColumn("at_limit", at).drop(*[f"at_{u}" for u, _ in units])
     vocab = vocabulary(t)
     ends = t.where("last <> '' and not last rlike '^[0-9]+$'").select("last").distinct()
-    starts = vocab.where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("last")).distinct()
+    # words that only ever end texts (a farewell, a prompt) have beginnings too; three texts away from any limit vouch for one
+    closing = t.where("not at_limit and last <> '' and not last rlike '^[0-9]+$'").groupBy(F.col("last").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("word")
+    starts = vocab.unionByName(closing).where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("last")).distinct()
     halves = ends.join(starts, "last", "left_semi").join(vocab.withColumnRenamed("word", "last"), "last", "left_anti").withColumn("half", F.lit(True))
     j = t.join(halves, "last", "left")
     why = (
