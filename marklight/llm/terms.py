@@ -67,8 +67,10 @@ def term_counts(sequences: DataFrame, max_terms: int = 1, hot_rows: int = 200_00
     at = s.select("record", F.posexplode("terms").alias("pos", "first"), "terms")
     suffix = at.select("record", "first", F.slice("terms", F.col("pos") + 1, max_terms).alias("suffix"))
     suffix = suffix.groupBy("record", "first", "suffix").agg(F.count(F.lit(1)).alias("hits"))
-    # at most rows / hot_rows first terms are hot; below 2 ** 31 rows that is a table of some 10,000 rows
-    hot = suffix.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("first", F.ceil(F.col("n") / hot_rows).alias("parts"))
+    # the bound on a part's rows grows with the input, so that at most 10,000 first terms are hot
+    counts = suffix.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.greatest(F.lit(hot_rows).cast("bigint"), F.coalesce(F.ceil(counts.agg(F.sum("n").alias("all")).scalar() / 10_000), F.lit(0).cast("bigint")))
+    hot = counts.where(F.col("n") > limit).select("first", F.ceil(F.col("n") / limit).alias("parts"))
     salted = suffix.join(F.broadcast(hot), "first", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("record"), F.col("parts")), F.lit(0)).cast("int"))
     routed = salted.select("first", "salt", "suffix", "record", "hits").repartition("first", "salt").sortWithinPartitions("first", "salt", F.desc("suffix"))
     part = routed.mapInPandas(_stacks, "terms array<string>, hits bigint, records bigint")
