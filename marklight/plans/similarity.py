@@ -9,6 +9,9 @@ from marklight.functions.ctok import CLASSES
 from marklight.operators import detection, fingerprint as fp, similarity as sim
 from marklight.session import cut, latest, table
 
+#: Fixed value: the score from which a pair of C files is flagged.
+THRESHOLD = 0.7
+
 
 def doc_units(spark: SparkSession, d: str) -> DataFrame:
     return fp.text_units(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
@@ -112,16 +115,16 @@ def c_functions(spark, d):
 
 
 def c_similar(spark, d):
-    """Pairs of files (one per class of equal ones) whose normalised functions reach a combined score of 0.95."""
+    """Pairs of files (one per class of equal ones) whose normalised functions reach a combined score of 0.7."""
     reps, _ = sim.classes(cut(file_units(spark, d)))
-    return sim.similar_records(reps, 0.95).select("a", "b", "exact_matches", "window_matches", "window_union", F.round("similarity_percent", 6).alias("similarity_percent"))
+    return sim.similar_records(reps, THRESHOLD).select("a", "b", "exact_matches", "window_matches", "window_union", F.round("similarity_percent", 6).alias("similarity_percent"))
 
 
 def c_evidence(spark, d):
     """For pairs of ``c_similar`` the shared windows with merged byte spans on both sides."""
     reps, _ = sim.classes(cut(file_units(spark, d)))
     reps = cut(reps)
-    p = cut(sim.similar_records(reps, 0.95).select("a", "b"))
+    p = cut(sim.similar_records(reps, THRESHOLD).select("a", "b"))
     e = sim.evidence(p, reps)
     return e.select("a", "b", "hash8", F.size("spans_a").cast("bigint").alias("n_spans_a"), F.size("spans_b").cast("bigint").alias("n_spans_b"), "spans_a", "spans_b")
 
