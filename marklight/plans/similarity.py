@@ -120,6 +120,12 @@ def c_similar(spark, d):
     return sim.similar_records(reps, THRESHOLD).select("a", "b", "exact_matches", "window_matches", "window_union", F.round("similarity_percent", 6).alias("similarity_percent"))
 
 
+def c_classes(spark, d):
+    """Class of every file with functions: files with equal bags of normalised functions share one, named by the smallest id."""
+    _, member = sim.classes(cut(file_units(spark, d)))
+    return member.select(F.col("id").alias("file_id"), "class_id")
+
+
 def c_evidence(spark, d):
     """For pairs of ``c_similar`` the shared windows with merged byte spans on both sides."""
     reps, _ = sim.classes(cut(file_units(spark, d)))
@@ -190,7 +196,7 @@ def best_entry_trimmed(spark, d):
 QUERIES = {
     "fp_windows": fp_windows, "fp_functions": fp_functions, "fp_ident_ordinals": fp_ident_ordinals, "fp_operator_classes": fp_operator_classes, "sim_pairs": sim_pairs, "sim_classes": sim_classes,
     "sim_combined": sim_combined, "sim_best_match": sim_best_match, "sim_trimmed": sim_trimmed, "sim_exact_functions": sim_exact_functions,
-    "c_functions": c_functions, "c_similar": c_similar, "c_evidence": c_evidence, "c_dict_matches": c_dict_matches,
+    "c_functions": c_functions, "c_similar": c_similar, "c_classes": c_classes, "c_evidence": c_evidence, "c_dict_matches": c_dict_matches,
     "dict_matches": dict_matches, "dict_results": dict_results, "dict_errors": dict_errors, "dict_summary": dict_summary, "dict_validate": dict_validate, "best_entry_trimmed": best_entry_trimmed,
 }
 _OPS = "case " + " ".join(f"when op in ({', '.join(repr(o) for o in ops)}) then '{c}'" for c, ops in CLASSES.items()) + " else op end"

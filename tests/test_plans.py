@@ -20,3 +20,9 @@ def test_c_pairs_between_070_and_095(spark, tmp_path):
     assert got.keys() == {(0, 1)} and 70 <= got[0, 1] < 95
     e = similarity.c_evidence(spark, d).collect()
     assert e and {(r.a, r.b) for r in e} == {(0, 1)}
+
+
+def test_c_classes_hold_renamed_copies(spark, tmp_path):
+    whole = HEAD + TAIL
+    d = sources(spark, tmp_path, [whole, whole.replace("total", "sum_up").replace("v", "values"), HEAD + OTHER + TAIL, "int x;", None])
+    assert {r.file_id: r.class_id for r in similarity.c_classes(spark, d).collect()} == {0: 0, 1: 0, 2: 2}
