@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from marklight.session import cut
 
 TOKEN = (
-    r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?(?!\w)"
-    r"|\d{4}-\d\d-\d\d(?!\w)|\d\d:\d\d:\d\d(?:[.,]\d+)?(?!\w)|==\d+==|--\d+--|\w[\w./+\-]*\w|\w|[^\s\w]"
+    r"\d{4}([-/.])\d\d\1\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?(?!\w)"
+    r"|\d{4}([-/.])\d\d\2\d\d(?!\w)|\d\d:\d\d:\d\d(?:[.,]\d+)?(?!\w)|==\d+==|--\d+--|\w[\w./+\-]*\w|\w|[^\s\w]"
 )
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 #: Spellings of the five levels.
@@ -47,8 +47,8 @@ ROLES = "time_kind string, time_pos int, level_pos int, comp_pos int, head_pos i
 def mask(tok: Column) -> Column:
     """The class of one token; plain words stay as they are."""
     return (
-        F.when(tok.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:"), "<TS>")
-        .when(tok.rlike(r"^\d{4}-\d\d-\d\d$"), "<DATE>")
+        F.when(tok.rlike(r"^\d{4}([-/.])\d\d\1\d\d[T ]\d\d:"), "<TS>")
+        .when(tok.rlike(r"^\d{4}([-/.])\d\d\1\d\d$"), "<DATE>")
         .when(tok.rlike(r"^\d\d:\d\d:\d\d"), "<CLOCK>")
         .when(tok.rlike(r"^(==|--)\d+(==|--)$"), "<PID>")
         .when(tok.rlike(r"^[12]\d{9}$"), "<EPOCH>")
@@ -148,6 +148,46 @@ def roles(tokens: list[str]) -> tuple[str | None, int, int, int, int]:
     return kind, time + 1, level + 1, comp + 1, max(time + (kind in ("date", "letterdate")) + 2 * (kind == "month"), level, comp) + 1
 
 
+def slots(tokens: list[str]) -> tuple[str | None, int, int, int, int]:
+    """The same for a template whose layout ``roles`` has no rule for: time and level are told by the class of their slot.
+
+    Both must stand at the front, in any order and brackets, with nothing between but numbers and one component, which is
+    in brackets or followed by a separator; a template that has words there is prose and opens no entry.
+    """
+    n = len(tokens)
+    at = lambda i: tokens[i] if 0 <= i < n else ""
+    kind, time, level, comp, end, i = None, -1, -1, -1, -1, 0
+    while i < n:
+        found, size = {"<TS>": ("ts", 1), "<EPOCH>": ("epoch", 1), "<EPOCHMS>": ("epochms", 1), "<CLOCK>": ("clock", 1)}.get(at(i), (None, 1))
+        if at(i) == "<DATE>" and at(i + 1) == "<CLOCK>":
+            found, size = "date", 2
+        elif [at(i), at(i + 1), at(i + 2)] == ["<MON>", "<NUM>", "<CLOCK>"]:
+            found, size = "month", 3
+        framed = at(i - 1) in ("[", "(", "<", "|") and at(i + 1) in ("]", ")", ">", "|")
+        if found and kind is None:
+            kind, time = found, i
+        elif level < 0 and (at(i) == "<LEVEL>" or (at(i) == "<LETTER>" and framed)):
+            level = i
+        elif comp < 0 and _word(at(i)) and (framed or at(i + 1) in (":", "|", "-") or [at(i + 1), at(i + 2), at(i + 3)] == ["[", "<NUM>", "]"]):
+            comp = i
+        elif at(i) in ("[", "]", "(", ")", "<", ">", "|", "-", ":", ",") or (at(i) == "<NUM>" and (framed or at(i - 1) == ":")):
+            i += 1
+            continue
+        else:
+            break
+        i, end = i + size, i + size
+        if kind and level >= 0 and comp >= 0:
+            break
+    if kind is None or level < 0:
+        return None, 0, 0, 0, 0
+    return kind, time + 1, level + 1, comp + 1, end
+
+
+def read(tokens: list[str]) -> tuple[str | None, int, int, int, int]:
+    r = roles(tokens)
+    return r if r[0] else slots(tokens)
+
+
 def partition(shapes: DataFrame) -> DataFrame:
     """Iterative partitioning of distinct masked lines.
 
@@ -177,23 +217,37 @@ def partition(shapes: DataFrame) -> DataFrame:
 
 
 def templates(parts: DataFrame) -> DataFrame:
-    """One row per leaf: its template, a star where the lines differ, and how many lines it stands for."""
+    """One row per leaf: its template, a star where the lines differ, where it has words only, and how many lines it stands for."""
     at = parts.select("n", "v2", "v3", "weight", F.posexplode("masked").alias("pos", "tok"))
-    slot = at.groupBy("n", "v2", "v3", "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"), F.sum("weight").alias("lines"))
+    slot = at.groupBy("n", "v2", "v3", "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"), F.bool_and(F.col("tok").rlike(PLAIN)).alias("plain"), F.sum("weight").alias("lines"))
     return slot.groupBy("n", "v2", "v3").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("*").alias("tok")))), lambda x: x["tok"]).alias("template"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "plain"))), lambda x: x["plain"]).alias("wordy"),
         F.max("lines").alias("lines"),
     )
 
 
+#: A token that a star may stand for wherever roles take a word: no sign and no class other than that of a name.
+PLAIN = r"^(<ID>|\w.*)$"
+
+
+def leaf_roles(template: list[str], wordy: list[bool], masked: list[str]) -> tuple[str | None, int, int, int, int]:
+    """Slots of one line: those of its leaf's ``template``, unless the leaf mixes layouts within the header.
+
+    A star over words only (``wordy``) is a slot of the leaf; one over different classes or signs tells nothing. Before such
+    a star the template must show all three slots, and the four tokens behind them that rules look at; otherwise the line
+    goes by its own shape.
+    """
+    first = next((i for i, (t, w) in enumerate(zip(template, wordy)) if t == "*" and not w), len(template))
+    r = read([t if t != "*" or w else "" for t, w in zip(template, wordy)])
+    if first == len(template) or (r[0] not in (None, "none") and r[2] and r[3] and first >= r[4] + 4):
+        return r
+    return read(masked)
+
+
 def _shape_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for template, masked in zip(pdf["template"], pdf["masked"]):
-            r = roles(list(template))
-            got = roles(list(masked))
-            # a leaf that mixes layouts has stars in its header: such a line goes by its own shape
-            out.append(r if r == got else got)
+        out = [leaf_roles(list(t), list(w), list(m)) for t, w, m in zip(pdf["template"], pdf["wordy"], pdf["masked"])]
         yield pd.concat([pdf[["kind", "masked", "v2", "v3"]].reset_index(drop=True), pd.DataFrame(out, columns=["time_kind", "time_pos", "level_pos", "comp_pos", "head_pos"])], axis=1)
 
 
@@ -218,17 +272,18 @@ def log_entries(texts: DataFrame) -> DataFrame:
     shapes = lines.groupBy("kind", "masked").agg(F.count(F.lit(1)).alias("weight"))
     parts = cut(partition(shapes))
     leaves = templates(parts)
-    shaped = parts.join(leaves, ["n", "v2", "v3"]).select("kind", "masked", "v2", "v3", "template")
+    shaped = parts.join(leaves, ["n", "v2", "v3"]).select("kind", "masked", "v2", "v3", "template", "wordy")
     known = shaped.mapInPandas(_shape_roles, "kind string, masked array<string>, v2 string, v3 string, " + ROLES).where("time_kind is not null").drop("v2", "v3")
     got = lines.join(known, ["kind", "masked"])
     t = lambda c, k=0: F.get("tokens", F.col(c) - 1 + k)
     year, clock = F.date_format("started_at", "yyyy"), F.regexp_replace(t("time_pos", 1), ",", ".")
     month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), t("time_pos")).cast("string"), 2, "0")
+    dashed = F.regexp_replace(t("time_pos"), r"^(\d{4})[/.](\d\d)[/.]", "$1-$2-")
     as_time = lambda c: c.try_cast("timestamp")
     kind = F.col("time_kind")
     when = (
-        F.when(kind == "ts", as_time(F.regexp_replace(t("time_pos"), ",", ".")))
-        .when(kind == "date", as_time(F.concat(t("time_pos"), F.lit(" "), clock)))
+        F.when(kind == "ts", as_time(F.regexp_replace(dashed, ",", ".")))
+        .when(kind == "date", as_time(F.concat(dashed, F.lit(" "), clock)))
         .when(kind == "epoch", F.timestamp_seconds(t("time_pos").try_cast("bigint")))
         .when(kind == "epochms", F.timestamp_millis(t("time_pos").try_cast("bigint")))
         .when(kind == "clock", as_time(F.concat(F.date_format("started_at", "yyyy-MM-dd"), F.lit(" "), F.regexp_replace(t("time_pos"), ",", "."))))
