@@ -130,10 +130,22 @@ def calls(content: bytes | None) -> list[tuple[str, int]]:
 
     The callee is a name or the last member of ``a.b`` or ``a->b``; calls in strings, comments and macros don't exist.
     """
+    return [(name, start) for name, start, _ in call_spans(content)]
+
+
+def call_spans(content: bytes | None) -> list[tuple[str, int, int]]:
+    """The same with the end of the call, behind its closing parenthesis; an unclosed call ends with the function."""
     toks = tokens(content or b"")
     out = []
     for a, b in functions(toks):
         body = next((i for i in range(a, b) if toks[i][1] == b"{"), b)
+        # where each parenthesis ends, found once for the function: nested calls cost nothing more
+        ends, opened = {}, []
+        for i in range(body, b):
+            if toks[i][1] == b"(":
+                opened.append(i)
+            elif toks[i][1] == b")" and opened:
+                ends[opened.pop()] = toks[i][3]
         for i in range(body + 1, b - 1):
             kind, raw, start, _ = toks[i]
             if kind != "word" or toks[i + 1][1] != b"(" or raw.decode("latin-1") in NOT_CALLS | KEYWORDS:
@@ -149,5 +161,5 @@ def calls(content: bytes | None) -> list[tuple[str, int]]:
                     j -= 1
                     if not depth and toks[j][1] not in (b"]", b")"):
                         break
-            out.append((raw.decode("latin-1"), toks[j][2]))
+            out.append((raw.decode("latin-1"), toks[j][2], ends.get(i + 1, toks[b - 1][3])))
     return out

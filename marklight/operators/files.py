@@ -89,6 +89,17 @@ def call_hits(files: DataFrame, banned: list[str] | None = None) -> DataFrame:
     return c.where(F.col("function").isin(list(BANNED if banned is None else banned)))
 
 
+def _call_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(key, *s[1:]) for key, content in zip(pdf["id"], pdf["content"]) for s in ctok.call_spans(content)], columns=["id", "start", "end"])
+
+
+def call_spans(files: DataFrame) -> DataFrame:
+    """``id, start, end``: bytes of every call in ``files(id, content binary)``, from the callee to the closing parenthesis."""
+    kind = files.schema["id"].dataType.simpleString()
+    return files.select("id", "content").mapInPandas(_call_spans, f"id {kind}, start bigint, end bigint")
+
+
 def line_starts(texts: DataFrame) -> DataFrame:
     """``id, line, start``: 1-based lines of ``texts(id, text)`` with the byte each begins at."""
     t = texts.where("text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("pos", "l"))

@@ -9,7 +9,7 @@ from marklight.functions import scalars as sc
 from marklight.operators import files, runs
 from marklight.operators.detection import bounded
 from marklight.operators.spans import merge_spans
-from marklight.session import latest, table
+from marklight.session import cut, latest, table
 
 
 def _source(spark, d):
@@ -69,9 +69,12 @@ def line_cols(spark, d):
 
 
 def snippets(spark, d):
-    """The first merged span of each file's calls as a snippet, in hex digits."""
-    f = _source(spark, d).where("content is not null")
-    return f.select("file_id", F.hex(sc.byte_snippet(F.col("content"), F.lit(100), F.lit(300))).alias("snippet"))
+    """The first merged span of each file's calls as a snippet, in hex digits; null for a file without calls."""
+    f = cut(_source(spark, d).where("content is not null").select("file_id", "content"))
+    spans = merge_spans(files.call_spans(f.select(F.col("file_id").alias("id"), "content")), ["id"])
+    first = spans.groupBy(F.col("id").alias("file_id")).agg(F.min(F.struct("start", "end")).alias("s"))
+    a, b = (F.col(f"s.{x}").cast("int") for x in ("start", "end"))
+    return f.join(first, "file_id", "left").select("file_id", F.when(F.col("s").isNotNull(), F.hex(sc.byte_snippet(F.col("content"), a, b))).alias("snippet"))
 
 
 def _expected(spark, d):

@@ -1,6 +1,6 @@
 """Queries over small tables made for one case each."""
 
-from marklight.plans import similarity
+from marklight.plans import runs, similarity
 
 HEAD = "int total(int *v, int n) { int s = 0; for (int i = 0; i < n; i++) { s += v[i]; if (s > 100) { s = s / 2; } }"
 TAIL = " while (s % 3 != 0) { s++; } return s; }\n"
@@ -26,3 +26,10 @@ def test_c_classes_hold_renamed_copies(spark, tmp_path):
     whole = HEAD + TAIL
     d = sources(spark, tmp_path, [whole, whole.replace("total", "sum_up").replace("v", "values"), HEAD + OTHER + TAIL, "int x;", None])
     assert {r.file_id: r.class_id for r in similarity.c_classes(spark, d).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_snippets_show_the_first_calls(spark, tmp_path):
+    late = "/* " + "x" * 400 + " f(0) */ int main(void) { return a.put(get(1,\n 2), \")\") + g(3); }"
+    d = sources(spark, tmp_path, [late, "int f() { g(1); }", "int x;", "int f() { h(2; }", "", None])
+    got = {r.file_id: None if r.snippet is None else bytes.fromhex(r.snippet).decode() for r in runs.snippets(spark, d).collect()}
+    assert got == {0: 'a.put(get(1,  2), ")")', 1: "g(1)", 2: None, 3: "h(2; }", 4: None}
