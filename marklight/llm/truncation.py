@@ -55,7 +55,7 @@ def truncated(texts: DataFrame) -> DataFrame:
 
     A text counts as cut if, behind any cut mark, its last character is a replacement character, or its last word is no word
     that stands inside any text but the beginning of one, or, at a spike of its source's lengths, it ends in
-    a number. The spikes find cuts at a limit; a text that broke off in transfer has any length, so its last word has to show it.
+    a number or in a word that neither stands inside any text nor ends texts elsewhere. The spikes find cuts at a limit; a text that broke off in transfer has any length, so its last word has to show it.
     A text at a spike with whole last word is no case.
 
     Null and empty texts are no cases; a null source is a source of its own; repeated rows are judged alike.
@@ -79,11 +79,17 @@ def truncated(texts: DataFrame) -> DataFrame:
     closing = t.where("not at_limit and last <> '' and not last rlike '^[0-9]+$'").groupBy(F.col("last").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("word")
     starts = vocab.unionByName(closing).where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("last")).distinct()
     halves = ends.join(starts, "last", "left_semi").join(vocab.withColumnRenamed("word", "last"), "last", "left_anti").withColumn("half", F.lit(True))
-    j = t.join(halves, "last", "left")
+    # ids, paths and rare names are cut to what begins no known word; at a limit it is enough that nothing vouches for the word
+    odd = t.where("at_limit and last <> '' and not last rlike '^[0-9]+$'").select("last").distinct()
+    # a final sign vouches too: the word before it is whole
+    stopped = t.where("not at_limit").select(F.lower(F.regexp_extract("bare", f"({WORD})[.!?:;,)\\]}}\"']+$", 1)).alias("word")).where("word <> ''").distinct()
+    odd = odd.join(vocab.unionByName(closing).unionByName(stopped).withColumnRenamed("word", "last"), "last", "left_anti").withColumn("odd", F.lit(True))
+    j = t.join(halves, "last", "left").join(odd, "last", "left")
     why = (
         F.when(F.col("bare").rlike("�$"), "damaged")
         .when(F.col("half"), "half word")
         .when(F.col("at_limit") & F.col("bare").rlike(r"\d$"), "number at limit")
+        .when(F.col("at_limit") & F.col("odd"), "unknown word at limit")
     )
     return j.withColumn("why", why).where("why is not null").withColumn("source", F.nullif("source", F.lit("\u0000"))).select("record_id", "source", "field_name", "text", "at_limit", "why")
 

@@ -1,5 +1,6 @@
 """Queries over small tables made for one case each."""
 
+from marklight.llm import truncation
 from marklight.plans import runs, similarity
 
 HEAD = "int total(int *v, int n) { int s = 0; for (int i = 0; i < n; i++) { s += v[i]; if (s > 100) { s = s / 2; } }"
@@ -33,3 +34,11 @@ def test_snippets_show_the_first_calls(spark, tmp_path):
     d = sources(spark, tmp_path, [late, "int f() { g(1); }", "int x;", "int f() { h(2; }", "", None])
     got = {r.file_id: None if r.snippet is None else bytes.fromhex(r.snippet).decode() for r in runs.snippets(spark, d).collect()}
     assert got == {0: 'a.put(get(1,  2), ")")', 1: "g(1)", 2: None, 3: "h(2; }", 4: None}
+
+
+def test_unknown_word_at_a_limit(spark):
+    text = lambda i: "some words " * (2 + i % 9) + "ready."
+    rows = [(i, "s", "f", text(i)) for i in range(400)] + [(1000 + i, "s", "f", ("more words " * 17 + f"zq{chr(97 + i)}xv" * 20)[:200]) for i in range(6)]
+    rows += [(2000 + i, "s", "f", "words more " * 17 + "ready".rjust(13)) for i in range(2)] + [(3000, "t", "f", "some qqv")]
+    df = spark.createDataFrame(rows, "record_id bigint, source string, field_name string, text string")
+    assert {r.record_id: r.why for r in truncation.truncated(df).collect()} == {1000 + i: "unknown word at limit" for i in range(6)}
