@@ -56,7 +56,9 @@ NAME = re.compile(
     rf"(?<![\w@#&./-])(?:{PART}, (?:{PART})(?: {INITIAL})*(?: {PART})?|(?:{INITIAL} ?)+(?:{PART})|{PART}(?: {INITIAL})* (?:(?:van|von|de|der|del|di|da|la|le) )*{PART}(?: {PART})?"
     rf"|{UPPER},? {UPPER}|{PART}, {INITIAL})(?![\w@(_-]|\.\w)"
 )
-ARTICLES = {"the", "a", "an", "this", "that", "der", "die", "das", "ein", "eine", "le", "la", "les", "el", "los", "las", "un", "une", "una"}
+ARTICLES = {"the", "a", "an", "der", "die", "das", "ein", "eine", "le", "la", "les", "el", "los", "las", "un", "une", "una"}
+#: Left off a name like articles, but they also stand before persons ("heard that").
+POINTERS = {"this", "that"}
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "madam", "herr", "frau", "señor", "señora", "sr", "sra", "monsieur", "madame", "mme", "tutor", "professor", "doctor", "doktor", "dipl", "ing"}
 WORDS_NEAR = {
     "phone": ["phone", "call", "ring", "tel", "telephone", "mobile", "number", "fax", "reach", "telefon", "anrufen", "teléfono", "téléphone", "handy"],
@@ -123,7 +125,7 @@ def find_spans(text: str, least: float = 0.5) -> list[tuple]:
         parts = [(x.start() + a, x.end() + a, x.group(0)) for x in re.finditer(r"[^\W\d_](?:[\w'’-]*[^\W\d_])?\.?", m.group(0))]
         before = TOKEN.findall(text[max(0, a - 12) : a])
         article = bool(before) and text[a - 1] == " " and before[-1].lower() in ARTICLES
-        while parts and (parts[0][2].rstrip(".").lower() in TITLES or parts[0][2].lower() in ARTICLES):
+        while parts and (parts[0][2].rstrip(".").lower() in TITLES or parts[0][2].lower() in ARTICLES | POINTERS):
             article |= parts.pop(0)[2].lower() in ARTICLES
         # which parts are common words is only known later: without its first or last part the rest may be the name
         tries = [parts, parts[1:], parts[:-1]] if len(parts) > 2 else [parts]
@@ -159,6 +161,10 @@ def common_words(texts: DataFrame, share: float = 0.05) -> DataFrame:
 STARTERS = ["thanks", "thank", "ask", "send", "please", "parcel", "hello", "hi", "dear", "regards", "cheers", "see", "write", "my", "the", "this", "that", "and", "for", "but", "lab", "kit", "section", "die", "der", "das", "mein", "danke", "gracias", "merci", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "street", "road", "university", "chapter", "exercise", "week", "part", "room", "flat"]
 
 
+#: Fixed value: the share of a name's occurrences behind an article from which it names a thing.
+THING = 0.5
+
+
 def personal_spans(texts: DataFrame) -> DataFrame:
     """``id, pii_type, start_char, end_char, score`` for every mailbox, phone, identity number, address and name.
 
@@ -171,8 +177,9 @@ def personal_spans(texts: DataFrame) -> DataFrame:
     names = spans.where("pii_type = 'person_name'")
     each = names.select("parts").distinct().withColumn("word", F.explode("parts"))
     words = common_words(t).unionByName(t.sparkSession.createDataFrame([(w,) for w in STARTERS], "word string")).distinct()
-    # a name never takes an article: what does so once is the name of a thing
-    bad = each.join(words, "word", "left_semi").select("parts").unionByName(names.where("article").select("parts")).distinct()
+    # what takes an article half the time or more is the name of a thing; a person may take one now and then
+    things = names.groupBy("parts").agg(F.count_if("article").alias("k"), F.count(F.lit(1)).alias("n")).where(F.col("k") >= THING * F.col("n")).select("parts")
+    bad = each.join(words, "word", "left_semi").select("parts").unionByName(things).distinct()
     kept = names.join(bad, "parts", "left_anti").groupBy("id", "run").agg(F.max_by(F.struct("start_char", "end_char", "score"), F.col("end_char") - F.col("start_char")).alias("s"))
     kept = kept.select("id", F.lit("person_name").alias("pii_type"), "s.start_char", "s.end_char", "s.score")
     return spans.where("pii_type <> 'person_name'").select("id", "pii_type", "start_char", "end_char", "score").unionByName(kept)

@@ -1,6 +1,6 @@
 """Queries over small tables made for one case each."""
 
-from marklight.llm import truncation
+from marklight.llm import pii, truncation
 from marklight.plans import runs, similarity
 
 HEAD = "int total(int *v, int n) { int s = 0; for (int i = 0; i < n; i++) { s += v[i]; if (s > 100) { s = s / 2; } }"
@@ -42,3 +42,10 @@ def test_unknown_word_at_a_limit(spark):
     rows += [(2000 + i, "s", "f", "words more " * 17 + "ready".rjust(13)) for i in range(2)] + [(3000, "t", "f", "some qqv")]
     df = spark.createDataFrame(rows, "record_id bigint, source string, field_name string, text string")
     assert {r.record_id: r.why for r in truncation.truncated(df).collect()} == {1000 + i: "unknown word at limit" for i in range(6)}
+
+
+def test_one_article_is_no_veto(spark):
+    texts = ["I heard that Maria Keller left", "die Anna Schmidt kam", "ask Anna Schmidt now", "call Anna Schmidt now", "use the Ring Puffer now", "fill the Ring Puffer or Ring Puffer"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = [(r.id, texts[r.id][r.start_char : r.end_char]) for r in pii.personal_spans(df).collect()]
+    assert sorted(got) == [(0, "Maria Keller"), (1, "Anna Schmidt"), (2, "Anna Schmidt"), (3, "Anna Schmidt")]
