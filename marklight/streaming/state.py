@@ -93,7 +93,14 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
-    """What a stream gives until its present input is used up, by way of a parquet sink with a checkpoint under ``at``."""
+    """What a stream gives until its present input is used up, by way of a parquet sink with a checkpoint under ``at``.
+
+    ``append`` gives closed windows only; ``update`` gives a row each time a batch changes it, whether closed or not.
+    """
+    if mode != "append":  # the file sink appends only: a folder per batch, which a repeated batch replaces
+        w = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/{n}"))
+        w.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")

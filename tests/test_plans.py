@@ -1,7 +1,9 @@
 """Queries over small tables made for one case each."""
 
+import datetime as dt
+
 from marklight.llm import pii, truncation
-from marklight.plans import runs, similarity
+from marklight.plans import runs, similarity, streams
 
 HEAD = "int total(int *v, int n) { int s = 0; for (int i = 0; i < n; i++) { s += v[i]; if (s > 100) { s = s / 2; } }"
 TAIL = " while (s % 3 != 0) { s++; } return s; }\n"
@@ -49,3 +51,11 @@ def test_one_article_is_no_veto(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     got = [(r.id, texts[r.id][r.start_char : r.end_char]) for r in pii.personal_spans(df).collect()]
     assert sorted(got) == [(0, "Maria Keller"), (1, "Anna Schmidt"), (2, "Anna Schmidt"), (3, "Anna Schmidt")]
+
+
+def test_progress_of_open_windows(spark, tmp_path):
+    at = lambda m: dt.datetime(2031, 7, 1, 5, m)
+    rows = [(1, at(1), "u", "x", 0.2), (2, at(2), "u", "x", 0.6), (3, at(50), "u", "x", 0.7), (4, at(51), "v", "x", 0.1), (5, at(52), "v", "x", None)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id string, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.key, r.since.minute): r.fraction for r in streams.stream_progress(spark, str(tmp_path)).collect()}
+    assert got == {("u", 0): 0.6, ("u", 45): 0.7, ("v", 45): 0.1}
