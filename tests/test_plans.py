@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from marklight.llm import pii, truncation
 from marklight.plans import runs, similarity, streams
 
 HEAD = "int total(int *v, int n) { int s = 0; for (int i = 0; i < n; i++) { s += v[i]; if (s > 100) { s = s / 2; } }"
@@ -38,21 +37,6 @@ def test_snippets_show_the_first_calls(spark, tmp_path):
     assert got == {0: 'a.put(get(1,  2), ")")', 1: "g(1)", 2: None, 3: "h(2; }", 4: None}
 
 
-def test_unknown_word_at_a_limit(spark):
-    text = lambda i: "some words " * (2 + i % 9) + "ready."
-    rows = [(i, "s", "f", text(i)) for i in range(400)] + [(1000 + i, "s", "f", ("more words " * 17 + f"zq{chr(97 + i)}xv" * 20)[:200]) for i in range(6)]
-    rows += [(2000 + i, "s", "f", "words more " * 17 + "ready".rjust(13)) for i in range(2)] + [(3000, "t", "f", "some qqv")]
-    df = spark.createDataFrame(rows, "record_id bigint, source string, field_name string, text string")
-    assert {r.record_id: r.why for r in truncation.truncated(df).collect()} == {1000 + i: "unknown word at limit" for i in range(6)}
-
-
-def test_one_article_is_no_veto(spark):
-    texts = ["I heard that Maria Keller left", "die Anna Schmidt kam", "ask Anna Schmidt now", "call Anna Schmidt now", "use the Ring Puffer now", "fill the Ring Puffer or Ring Puffer"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
-    got = [(r.id, texts[r.id][r.start_char : r.end_char]) for r in pii.personal_spans(df).collect()]
-    assert sorted(got) == [(0, "Maria Keller"), (1, "Anna Schmidt"), (2, "Anna Schmidt"), (3, "Anna Schmidt")]
-
-
 def test_progress_of_open_windows(spark, tmp_path):
     at = lambda m: dt.datetime(2031, 7, 1, 5, m)
     rows = [(1, at(1), "u", "x", 0.2), (2, at(2), "u", "x", 0.6), (3, at(50), "u", "x", 0.7), (4, at(51), "v", "x", 0.1), (5, at(52), "v", "x", None)]
