@@ -1,13 +1,15 @@
 """Semi-structured log lines into fields, by iterative partitioning.
 
 ``log_entries`` cuts texts into lines, tokenises and type-masks every line that may open an entry, partitions the
-masked lines iteratively (token count, then the least variable position, then bijections between two positions) into
-leaf templates, reads off each template which slots hold time, level and component, and applies those slots to the
-lines of the leaf. All row-wise work runs in the JVM; Python only sees distinct leaf templates and masked shapes.
+masked lines iteratively (token count, then the least variable position, then bijections between two positions, then the
+positions at which a leaf's headers still mix layouts) into leaf templates, reads off each template which slots hold time,
+level and component, and applies those slots to the lines of the leaf. All row-wise work runs in the JVM; Python only sees
+leaf templates. A line's fields come from its leaf's template alone.
 
 Defined results: a null or empty text has no entries; an indented or blank line or a ``=== banner ===`` never opens
-one; a line whose template has no header slots belongs to the entry above; repeated rows of one key count once; an
-empty table gives no rows; other columns of the input are ignored, whatever their names.
+one; a line whose template has no header slots belongs to the entry above; lines above the first entry belong to none;
+repeated rows of one key count once; an empty table gives no rows; other columns of the input are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marklight.operators.skew import heavy_keys, skew_join
 from marklight.session import cut
 
 TOKEN = (
@@ -184,15 +187,34 @@ def slots(tokens: list[str]) -> tuple[str | None, int, int, int, int]:
 
 
 def read(tokens: list[str]) -> tuple[str | None, int, int, int, int]:
+    """The slots of a template, by the rules for known headers, else by the classes at its front."""
     r = roles(tokens)
     return r if r[0] else slots(tokens)
 
 
+#: How many tokens of a line its header may have, with those behind it that the rules look at.
+HEADER = 24
+
+
+def layout(masked: Column) -> Column:
+    """What each token of a header means to its layout: a word is any word, all else is itself.
+
+    Keys (``key=`` and ``"key":``) are layout too. Lines of keys and values are header up to their end, others for ``HEADER`` tokens.
+    """
+    word = lambda t: t.rlike(PLAIN)
+    at = lambda i: F.coalesce(F.get(masked, i), F.lit(""))
+    keyed = (at(F.lit(0)) == "{") | (at(F.lit(1)) == "=")
+    key = lambda i: keyed & ((at(i + 1) == "=") | ((at(i - 1) == '"') & (at(i + 1) == '"') & (at(i + 2) == ":")))
+    kinds = F.transform(masked, lambda t, i: F.when(word(t) & ~key(i), "w").otherwise(t))
+    return F.when(keyed, kinds).otherwise(F.slice(kinds, 1, HEADER))
+
+
 def partition(shapes: DataFrame) -> DataFrame:
     """Iterative partitioning of distinct masked lines.
 
-    ``shapes(masked array<string>, weight bigint)`` gets ``v2`` and ``v3``: the value at its least variable position among
-    lines of its token count, then the value that a bijection between two positions of that partition gives it.
+    ``shapes(kind, shape, masked array<string>, weight bigint)`` gets ``n``, ``v2``, ``v3`` and ``v4``: the token count, the value at
+    the least variable position among lines of that count, the value that a bijection between two positions of that
+    partition gives it, and what stands at those header positions at which lines of that partition still differ in layout.
     Everything is counted by aggregation; no partition is ever gathered.
     """
     s = shapes.withColumn("n", F.size("masked"))
@@ -213,100 +235,127 @@ def partition(shapes: DataFrame) -> DataFrame:
     both = pairs.join(one_a, ["n", "v2", "ta"]).join(one_b, ["n", "v2", "tb"])
     # one to one: split by the value; one to many: by the side that stands alone; many to many: no split
     ways = both.select("n", "v2", "ta", "tb", F.when(F.col("nb") == 1, F.col("ta")).when(F.col("na") == 1, F.col("tb")).otherwise(F.lit("")).alias("v3"))
-    return s3.join(ways, ["n", "v2", "ta", "tb"], "left").select("kind", "masked", "weight", "n", "v2", F.coalesce("v3", F.lit("")).alias("v3"))
+    s4 = cut(s3.join(ways, ["n", "v2", "ta", "tb"], "left").select("kind", "shape", "masked", "weight", "n", "v2", F.coalesce("v3", F.lit("")).alias("v3"), layout(F.col("masked")).alias("front")))
+    # a leaf whose headers mix layouts is split once more, at just those positions
+    leaf = ["n", "v2", "v3"]
+    front = s4.select(*leaf, F.posexplode("front").alias("pos", "tok"))
+    mixed = front.groupBy(*leaf, "pos").agg((F.min("tok") != F.max("tok")).alias("mixed"), F.count(F.lit(1)).alias("k"))
+    # shorter fronts too: a position that only some lines count as header
+    total = s4.groupBy(*leaf).agg(F.count(F.lit(1)).alias("all"))
+    mixed = mixed.join(total, leaf).where(F.col("mixed") | (F.col("k") < F.col("all"))).groupBy(*leaf).agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    v4 = F.coalesce(F.transform("at", lambda p: F.coalesce(F.get("front", p), F.lit(""))), F.array().cast("array<string>"))
+    return s4.join(mixed, leaf, "left").select("kind", "shape", "masked", "weight", *leaf, v4.alias("v4"))
 
 
-def templates(parts: DataFrame) -> DataFrame:
-    """One row per leaf: its template, a star where the lines differ, where it has words only, and how many lines it stands for."""
-    at = parts.select("n", "v2", "v3", "weight", F.posexplode("masked").alias("pos", "tok"))
-    slot = at.groupBy("n", "v2", "v3", "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"), F.bool_and(F.col("tok").rlike(PLAIN)).alias("plain"), F.sum("weight").alias("lines"))
-    return slot.groupBy("n", "v2", "v3").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("*").alias("tok")))), lambda x: x["tok"]).alias("template"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "plain"))), lambda x: x["plain"]).alias("wordy"),
-        F.max("lines").alias("lines"),
-    )
-
+LEAF = ["n", "v2", "v3", "v4"]
 
-#: A token that a star may stand for wherever roles take a word: no sign and no class other than that of a name.
-PLAIN = r"^(<ID>|\w.*)$"
 
+def templates(parts: DataFrame) -> DataFrame:
+    """One row per leaf: its template, a star where the lines differ, and how many lines it stands for."""
+    at = parts.select(*LEAF, "weight", F.posexplode("masked").alias("pos", "tok"))
+    slot = at.groupBy(*LEAF, "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"), F.sum("weight").alias("lines"))
+    star = F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("*").alias("tok"))
+    return slot.groupBy(*LEAF).agg(F.transform(F.array_sort(F.collect_list(star)), lambda x: x["tok"]).alias("template"), F.max("lines").alias("lines"))
 
-def leaf_roles(template: list[str], wordy: list[bool], masked: list[str]) -> tuple[str | None, int, int, int, int]:
-    """Slots of one line: those of its leaf's ``template``, unless the leaf mixes layouts within the header.
 
-    A star over words only (``wordy``) is a slot of the leaf; one over different classes or signs tells nothing. Before such
-    a star the template must show all three slots, and the four tokens behind them that rules look at; otherwise the line
-    goes by its own shape.
-    """
-    first = next((i for i, (t, w) in enumerate(zip(template, wordy)) if t == "*" and not w), len(template))
-    r = read([t if t != "*" or w else "" for t, w in zip(template, wordy)])
-    if first == len(template) or (r[0] not in (None, "none") and r[2] and r[3] and first >= r[4] + 4):
-        return r
-    return read(masked)
+#: A token that counts as a word in a layout: no sign and no class other than that of a name.
+PLAIN = r"^(<ID>|\w.*)$"
 
 
-def _shape_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _leaf_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = [leaf_roles(list(t), list(w), list(m)) for t, w, m in zip(pdf["template"], pdf["wordy"], pdf["masked"])]
-        yield pd.concat([pdf[["kind", "masked", "v2", "v3"]].reset_index(drop=True), pd.DataFrame(out, columns=["time_kind", "time_pos", "level_pos", "comp_pos", "head_pos"])], axis=1)
+        out = [read(list(t)) for t in pdf["template"]]
+        yield pd.concat([pdf[LEAF].reset_index(drop=True), pd.DataFrame(out, columns=["time_kind", "time_pos", "level_pos", "comp_pos", "head_pos"])], axis=1)
 
 
-def log_entries(texts: DataFrame) -> DataFrame:
-    """Entries of ``texts(log_kind string, record_id bigint, text string, started_at timestamp)``, one row per record and kind.
+def leaf_slots(leaves: DataFrame) -> DataFrame:
+    """Where each leaf of ``templates`` has its time, level and component; leaves that open no entry are left out."""
+    return leaves.select(*LEAF, "template").mapInPandas(_leaf_rows, "n int, v2 string, v3 string, v4 array<string>, " + ROLES).where("time_kind is not null")
 
-    Gives ``log_kind, record_id, line_from, entry_time, log_level, component, message``. Times are UTC.
-    """
-    tok = F.col("tok")
+
+def opening_lines(texts: DataFrame) -> DataFrame:
+    """Lines that may open an entry: ``log_kind, record_id, started_at, line_from, line, tokens, masked, shape``."""
     lines = (
-        texts.where("text is not null and text <> ''")
+        texts.where("record_id is not null and text is not null and text <> ''")
         .select("log_kind", "record_id", "started_at", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-        .withColumn("line", F.regexp_replace("raw", r"\s+$", ""))
+        .withColumn("line", F.regexp_replace("raw", r"(?<!\s)\s+$", ""))
         .withColumn("body", F.regexp_replace("line", r"^(==|--)\d+(==|--) ?", ""))
         .where(F.col("body").rlike(r"^\S") & ~F.col("line").rlike(r"^=== .*===$"))
         .withColumn("tokens", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)))
         .withColumn("masked", F.transform("tokens", mask))
-        .withColumn("kind", F.col("log_kind"))
-        .select("log_kind", "kind", "record_id", "started_at", (F.col("pos") + 1).cast("bigint").alias("line_from"), "line", "tokens", "masked")
     )
-    lines = cut(lines)
-    shapes = lines.groupBy("kind", "masked").agg(F.count(F.lit(1)).alias("weight"))
+    shape = F.md5(F.concat_ws("\u0001", "log_kind", "masked"))
+    return lines.select("log_kind", "record_id", "started_at", (F.col("pos") + 1).cast("bigint").alias("line_from"), "line", "tokens", "masked", shape.alias("shape"))
+
+
+def log_entries(texts: DataFrame, messages: bool = True) -> DataFrame:
+    """Entries of ``texts(log_kind string, record_id bigint, text string, started_at timestamp)``, one row per record and kind.
+
+    Gives ``log_kind, record_id, line_from, entry_time, log_level, component`` and, with ``messages``, the ``message`` over all
+    lines of the entry. Times are UTC, whatever the time zone of the session.
+    """
+    lines = cut(opening_lines(texts))
+    shapes = lines.groupBy("shape").agg(F.first("log_kind").alias("kind"), F.first("masked").alias("masked"), F.count(F.lit(1)).alias("weight"))
     parts = cut(partition(shapes))
-    leaves = templates(parts)
-    shaped = parts.join(leaves, ["n", "v2", "v3"]).select("kind", "masked", "v2", "v3", "template", "wordy")
-    known = shaped.mapInPandas(_shape_roles, "kind string, masked array<string>, v2 string, v3 string, " + ROLES).where("time_kind is not null").drop("v2", "v3")
-    got = lines.join(known, ["kind", "masked"])
+    known = cut(parts.join(leaf_slots(templates(parts)), LEAF).select("shape", "time_kind", "time_pos", "level_pos", "comp_pos", "head_pos"))
+    # one shape may be a third of all lines: such shapes meet their slots by broadcast
+    got = skew_join(lines.drop("masked"), known, "shape", heavy_keys(lines, "shape", lines.count()))
     t = lambda c, k=0: F.get("tokens", F.col(c) - 1 + k)
-    year, clock = F.date_format("started_at", "yyyy"), F.regexp_replace(t("time_pos", 1), ",", ".")
+    utc = lambda x: F.timestamp_add("SECOND", F.unix_seconds(x), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("string")
+    day, clock = F.substring(utc(F.col("started_at")), 1, 10), F.regexp_replace(t("time_pos", 1), ",", ".")
+    year = F.substring(day, 1, 4)
     month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), t("time_pos")).cast("string"), 2, "0")
     dashed = F.regexp_replace(t("time_pos"), r"^(\d{4})[/.](\d\d)[/.]", "$1-$2-")
-    as_time = lambda c: c.try_cast("timestamp")
+    # a time without a zone is UTC
+    as_time = lambda c: F.when(c.rlike(r"(Z|[+-]\d\d:?\d\d)$") & c.rlike(":"), c).otherwise(F.concat(c, F.lit("Z"))).try_cast("timestamp")
     kind = F.col("time_kind")
     when = (
         F.when(kind == "ts", as_time(F.regexp_replace(dashed, ",", ".")))
         .when(kind == "date", as_time(F.concat(dashed, F.lit(" "), clock)))
         .when(kind == "epoch", F.timestamp_seconds(t("time_pos").try_cast("bigint")))
         .when(kind == "epochms", F.timestamp_millis(t("time_pos").try_cast("bigint")))
-        .when(kind == "clock", as_time(F.concat(F.date_format("started_at", "yyyy-MM-dd"), F.lit(" "), F.regexp_replace(t("time_pos"), ",", "."))))
+        .when(kind == "clock", as_time(F.concat(day, F.lit(" "), F.regexp_replace(t("time_pos"), ",", "."))))
         .when(kind == "month", as_time(F.concat(year, F.lit("-"), month, F.lit("-"), F.lpad(t("time_pos", 1), 2, "0"), F.lit(" "), F.regexp_replace(t("time_pos", 2), ",", "."))))
         .when(kind == "letterdate", as_time(F.concat(year, F.lit("-"), F.substring(t("time_pos"), 2, 2), F.lit("-"), F.substring(t("time_pos"), 4, 2), F.lit(" "), clock)))
     )
     said = F.lower(F.when(kind == "letterdate", F.substring(t("level_pos"), 1, 1)).otherwise(t("level_pos")))
     level = F.coalesce(*[F.when(said.isin(words), name) for name, words in LEVELS.items()], F.lit(""))
-    # tokens lose white space: the message starts behind the last header token, found in the line by its text
-    behind = F.expr("substring(line, locate(coalesce(get(tokens, head_pos - 1), ''), line) + length(coalesce(get(tokens, head_pos - 1), '')))")
+    # tokens lose white space, which is all that stands between them: each is the first of its text behind the one before
+    behind = F.expr("substring(line, aggregate(slice(tokens, 1, head_pos), 1, (at, t) -> locate(t, line, at) + length(t)))")
     out = got.select(
         "log_kind", "record_id", "line_from",
-        F.coalesce(F.date_format(when, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("entry_time"),
+        F.coalesce(utc(when), F.lit("")).alias("entry_time"),
         level.alias("log_level"),
         F.regexp_replace(F.coalesce(t("comp_pos"), F.lit("")), r"^(==|--)(\d+)(==|--)$", "$2").alias("component"),
-        F.regexp_replace(behind, r"^[\]|>):\s\-]+", "").alias("message"),
+        *([F.regexp_replace(behind, r"^[\]|>):\s\-]+", "").alias("first")] if messages else []),
     )
-    return out
+    return with_messages(out, texts) if messages else out.dropDuplicates(["log_kind", "record_id", "line_from"])
+
+
+def with_messages(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Entries with ``message``: ``first``, what their first line has behind its header, and all lines up to the next entry.
+
+    Process numbers before the lines of a memory log and white space behind lines are left out, as are banners, which name
+    what comes next. A record's entries are put together with its text, so nothing is gathered that is larger than the text.
+    """
+    rest = [c for c in entries.columns if c not in ("log_kind", "record_id", "first")]
+    own = entries.groupBy("log_kind", "record_id").agg(F.array_sort(F.collect_set(F.struct(*rest, "first"))).alias("own"))
+    j = own.join(texts.where("record_id is not null").select("log_kind", "record_id", "text").dropDuplicates(["log_kind", "record_id"]), ["log_kind", "record_id"])
+    # lines are bound once, else the text would be split again for every entry
+    lines = F.transform(F.array(F.split("text", "\n")), lambda all: F.transform("own", lambda e, i: F.struct(*[e[c].alias(c) for c in [*rest, "first"]], F.slice(all, e["line_from"].cast("int") + 1, (F.coalesce(F.get("own", i + 1)["line_from"], F.size(all) + 1) - e["line_from"] - 1).cast("int")).alias("more"))))[0]
+    e = j.select("log_kind", "record_id", F.explode(lines).alias("e")).select("log_kind", "record_id", "e.*")
+    bare = F.transform("more", lambda x: F.regexp_replace(F.regexp_replace(x, r"^(==|--)\d+(==|--) ?", ""), r"(?<!\s)\s+$", ""))
+    more = F.filter(F.zip_with("more", bare, lambda x, y: F.when(~x.rlike(r"^=== .*===\s*$"), y)), lambda x: x.isNotNull())
+    text = F.rtrim(F.array_join(F.concat(F.array("first"), more), "\n"), F.lit("\n"))
+    return e.select("log_kind", "record_id", *rest, text.alias("message"))
 
 
 def template_report(texts: DataFrame) -> DataFrame:
-    """The leaf templates themselves with the lines they cover, for those that open entries."""
-    lines = texts.where("text is not null and text <> ''").select(F.col("log_kind").alias("kind"), F.explode(F.split("text", "\n")).alias("raw"))
-    lines = lines.where(F.regexp_replace("raw", r"^(==|--)\d+(==|--) ?", "").rlike(r"^\S")).withColumn("masked", F.transform(F.regexp_extract_all("raw", F.lit(TOKEN), F.lit(0)), mask))
-    parts = partition(lines.groupBy("kind", "masked").agg(F.count(F.lit(1)).alias("weight")))
-    return templates(cut(parts)).select(F.array_join("template", " ").alias("template"), F.col("n").cast("bigint").alias("tokens"), "lines")
+    """Leaf templates with the lines they cover, whether they open entries, and where they have which slot (0: nowhere)."""
+    lines = cut(opening_lines(texts).select("log_kind", "masked", "shape"))
+    parts = cut(partition(lines.groupBy("shape").agg(F.first("log_kind").alias("kind"), F.first("masked").alias("masked"), F.count(F.lit(1)).alias("weight"))))
+    leaves = cut(templates(parts))
+    slots_ = leaf_slots(leaves).select(*LEAF, "time_kind", "time_pos", "level_pos", "comp_pos")
+    j = leaves.join(slots_, LEAF, "left")
+    at = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select(F.array_join("template", " ").alias("template"), F.col("n").cast("bigint").alias("tokens"), "lines", F.col("time_kind").isNotNull().alias("opens"), at("time_pos"), at("level_pos"), at("comp_pos"))

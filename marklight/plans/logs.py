@@ -17,12 +17,10 @@ def log_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return log_entries(log_texts(spark, d)).select("log_kind", "record_id", "line_from", "entry_time", "log_level", "component")
+    return log_entries(log_texts(spark, d), messages=False)
 
 
 def p4_entries(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return log_entries(log_texts(spark, d))
 
 

@@ -48,3 +48,23 @@ def test_empty_table(spark):
 def test_prose_opens_nothing():
     for line in (["score", "mutex", "and", "then"], ["ValueProblem", ":", "x", "<LEVEL>"], ["["], [], ["<NUM>"]):
         assert roles(line)[0] is None
+
+
+def test_messages_hold_all_lines(spark):
+    text = "above\n2031-05-28 11:11:43 ERROR packer: lost\n  at one\nTrace:\n\n    two  \n=== client ===\nmain.c:3:5: error: main.c: bad\n   3 | x\n\n"
+    log = "==77== HEAP SUMMARY:\n==77==     in use\n==77== \n--77-- WARNING: ioctl\n==77==  Address 0x1"
+    rows = [("compile", 1, text, None), ("compile", 1, text, None), ("run", 2, log, None), ("run", None, log, None)]
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = spark.createDataFrame(rows, "log_kind string, record_id bigint, text string, started_at timestamp")
+            got = {(r.record_id, r.line_from): (r.entry_time, r.message) for r in log_entries(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == {
+            (1, 2): ("2031-05-28 11:11:43", "lost\n  at one\nTrace:\n\n    two"),
+            (1, 8): ("", "main.c: bad\n   3 | x"),
+            (2, 1): ("", "HEAP SUMMARY:\n    in use"),
+            (2, 4): ("", "ioctl\n Address 0x1"),
+        }
+    assert log_entries(df).count() == 4 and log_entries(df, messages=False).count() == 4
