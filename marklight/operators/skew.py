@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def heavy_keys(df: DataFrame, key: str, rows: int, limit: int = 100_000) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def heavy_keys(df: DataFrame, key: str | list[str], rows: int, limit: int = 100_000) -> DataFrame:
     """Keys of ``df`` with more rows than ``limit``; raised with ``rows`` so that there are at most 10,000 of them."""
     limit = max(limit, rows // 10_000)
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
+    return df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*_keys(key))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], heavy: DataFrame) -> DataFrame:
     """Inner join where ``left`` may hold many rows of one key and ``right`` has one row a key.
 
     Rows of a heavy key stay where they are and meet their one right row by broadcast (``heavy`` has at most 10,000
     keys, see ``heavy_keys``); the rest is a plain equi-join.
     """
+    k = _keys(key)
     hot = F.broadcast(heavy)
-    a = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
-    b = left.join(hot, key, "left_anti").join(right, key)
+    a = left.join(F.broadcast(right.join(hot, k, "left_semi")), k)
+    b = left.join(hot, k, "left_anti").join(right, k)
     return a.unionByName(b)
+
+
+def block_copies(df: DataFrame, rows: Column, limit: int, by: Column) -> DataFrame:
+    """Copies of ``df`` for joining large groups with themselves in blocks: adds ``_block``, and ``_at`` (which side it stands on).
+
+    ``rows`` is the size of a row's group. The group falls into ``ceil(rows / limit)`` stripes by a hash of ``by``; a row of stripe
+    i is copied to the blocks (i, j) and (j, i) for every j, so two rows of a group share exactly one block in which the first
+    stands left and the second right. No block holds more than about ``limit`` rows a side.
+    """
+    n = F.greatest(F.ceil(rows / limit), F.lit(1)).cast("int")
+    stripe = F.pmod(F.xxhash64(by), n).cast("int")
+    left = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct((stripe * n + j).alias("block"), F.lit("l").alias("at")))
+    right = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct((j * n + stripe).alias("block"), F.lit("r").alias("at")))
+    one = df.withColumn("_c", F.explode(F.concat(left, right)))
+    return one.withColumns({"_block": F.col("_c.block"), "_at": F.col("_c.at")}).drop("_c")
