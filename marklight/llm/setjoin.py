@@ -1,119 +1,94 @@
-"""All similar pairs between set-valued records: cells of rare elements, split by pivots under Jaccard distance."""
+"""All similar pairs between set-valued records: cells of rare elements, split further by the next shared ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklight.session import cut, latest, table
+from marklight.operators.cells import candidate_pairs, ranked_sets, set_classes, verified
+from marklight.operators.skew import block_copies
+from marklight.session import cut, free, latest, table
 
-EPS = 1e-9
 
+def similar_classes(sets: DataFrame, threshold: float, across: bool = False, cell_rows: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b, similarity`` between classes of equal sets, and ``side, id, cls`` of every record.
 
-def prefix_size(n: Column, threshold: float) -> Column:
-    """How many of a set's ``n`` elements, rarest first, must meet one of the partner's as many rarest ones."""
-    return (n - F.ceil(n * threshold - EPS) + 1).cast("int")
+    ``sets(side, id, items array<bigint>)``, one row per record; ``side`` is ``l`` or ``r`` (any one value within one table). A class
+    is named by its smallest id. With ``across`` pairs go from side ``l`` to ``r`` and classes of one side that equal one of the other
+    are a pair too.
+    """
+    reps, member = set_classes(sets)
+    ranked = ranked_sets(reps)
+    cand = candidate_pairs(ranked, threshold, across, cell_rows)
+    pairs = cut(verified(cand, ranked, threshold).select("a", "b", "similarity"))
+    free(reps, ranked, cand)
+    return pairs, member
 
 
-def ordered_sets(sets: DataFrame) -> DataFrame:
-    """``sets(side, id, items array)`` as ``side, id, n, items``, the elements distinct and rarest first over both sides.
+def expanded(pairs: DataFrame, member: DataFrame, across: bool, limit: int = 1000) -> DataFrame:
+    """``a, b`` between records, from pairs between their classes; within one table also the pairs inside each class.
 
-    Null and empty sets and null elements are dropped.
-    """
-    items = F.array_distinct(F.filter("items", lambda x: x.isNotNull()))
-    one = sets.where("id is not null and items is not null").select("side", "id", items.alias("items")).where("size(items) > 0")
-    long = one.select("side", "id", F.explode("items").alias("item"))
-    # counts combine map-side, so an element that most sets have costs one row a task here; the join back meets it as a
-    # skewed partition, which adaptive execution splits
-    df = long.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    ranked = long.join(df, "item").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
-    return ranked.select("side", "id", F.size("r").alias("n"), F.col("r.item").alias("items"))
-
-
-def similar_pairs(sets: DataFrame, threshold: float, across: bool = False, cell_rows: int = 200, pivots: int = 8) -> DataFrame:
-    """Pairs of classes of equal sets whose Jaccard similarity is at least ``threshold``: ``a, b, similarity``.
-
-    ``sets(side, id, n, items)`` from ``ordered_sets``, ids distinct within a side and items rarest first. With ``across`` pairs go
-    from side ``l`` to side ``r``, else within one side with ``a < b``. A pair that similar must share one of either's rarest
-    elements (exact prefix bound), so each rare element is a cell. A cell of more than ``cell_rows`` sets is split by
-    metric pivots: each set goes to its nearest of the cell's ``pivots`` pivots and is copied to every pivot whose
-    distance exceeds the nearest one's by at most ``2 * (1 - threshold)``, which by the triangle inequality reaches every partner's
-    home; pairs are made inside these parts only, of sets whose sizes and distances to the pivot allow the threshold. Every pair
-    left is verified on the whole sets.
+    A class may hold a third of all records: the pairs inside it are made in blocks (``block_copies``).
     """
-    eps = 1.0 - threshold
-    s = sets
-    cells = s.select("side", "id", "n", F.explode(F.slice("items", F.lit(1), prefix_size(F.col("n"), threshold))).alias("cell"))
-    cells = cut(cells)
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("side").alias("sides")).where("rows > 1" + (" and sides > 1" if across else ""))
-    # the rows of a cell are split off before anything is made of pairs: cells beyond cell_rows go by pivots
-    small = cells.join(sizes.where(F.col("rows") <= cell_rows).select("cell"), "cell", "left_semi").select("side", "id", "n", "cell", F.lit(0).alias("part"), F.lit(True).alias("home"), F.lit(0.0).alias("far"))
-    large = cells.join(sizes.where(F.col("rows") > cell_rows).select("cell"), "cell", "left_semi").join(s.select("side", "id", "items"), ["side", "id"])
-    slot = F.pmod(F.xxhash64("side", "id"), F.lit(pivots))
-    chosen = large.groupBy("cell", slot.alias("slot")).agg(F.min_by("items", F.struct("side", "id")).alias("pivot"))
-    chosen = chosen.groupBy("cell").agg(F.collect_list("pivot").alias("pivots"))
-    shared = lambda p: F.size(F.array_intersect("items", p))
-    dist = large.join(chosen, "cell").withColumn("d", F.transform("pivots", lambda p: 1.0 - shared(p) / (F.col("n") + F.size(p) - shared(p))))
-    dist = dist.withColumn("least", F.array_min("d")).select("side", "id", "n", "cell", "least", F.posexplode("d").alias("part", "far"))
-    dist = dist.where(F.col("far") <= F.col("least") + 2 * eps + EPS).withColumn("home", F.col("far") == F.col("least"))
-    parts = small.unionByName(dist.select("side", "id", "n", "cell", (F.col("part") + 1).alias("part"), "home", "far"))
-    parts = cut(parts)
-    a, b = (parts.select("cell", "part", *[F.col(c).alias(f"{c}_{x}") for c in ("side", "id", "n", "home", "far")]) for x in "ab")
-    sided = (F.col("side_a") == "l") & (F.col("side_b") == "r") if across else (F.col("id_a") < F.col("id_b"))
-    near = (F.abs(F.col("far_a") - F.col("far_b")) <= eps + EPS) & (F.col("home_a") | F.col("home_b"))
-    fits = (F.col("n_a") >= F.col("n_b") * threshold - EPS) & (F.col("n_b") >= F.col("n_a") * threshold - EPS)
-    cand = cut(a.join(b, ["cell", "part"]).where(sided & near & fits).select("side_a", F.col("id_a").alias("a"), "side_b", F.col("id_b").alias("b")).distinct())
-    left = s.select(F.col("side").alias("side_a"), F.col("id").alias("a"), F.col("items").alias("items_a"))
-    right = s.select(F.col("side").alias("side_b"), F.col("id").alias("b"), F.col("items").alias("items_b"))
-    full = cand.join(left, ["side_a", "a"]).join(right, ["side_b", "b"])
-    inter = F.size(F.array_intersect("items_a", "items_b"))
-    sim = inter / (F.size("items_a") + F.size("items_b") - inter)
-    return full.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def _classed(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per class of equal sets under its smallest id, and ``side, id, cls`` for every record."""
-    o = cut(ordered_sets(sets))
-    cls = cut(o.groupBy("side", "items").agg(F.min("id").alias("id"), F.first("n").alias("n")))
-    reps = cls.select("side", "id", "n", "items")
-    member = o.join(cls.select("side", "items", F.col("id").alias("cls")), ["side", "items"]).select("side", "id", "cls")
-    return reps, cut(member)
-
-
-def similar_records(sets: DataFrame, threshold: float, across: bool = False) -> DataFrame:
+    side = (lambda s: member.where(F.col("side") == s)) if across else (lambda s: member)
+    ma, mb = side("l").select(F.col("cls").alias("a"), F.col("id").alias("x")), side("r").select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    between = pairs.join(ma, "a").join(mb, "b").select("x", "y")
+    if across:
+        return between.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    sizes = member.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = block_copies(member.join(sizes, "cls").select("cls", "id", "k"), F.col("k"), limit, F.col("id"))
+    left, right = (own.where(F.col("_at") == at).select("cls", "_block", F.col("id").alias(n)) for at, n in (("l", "x"), ("r", "y")))
+    within = left.join(right, ["cls", "_block"]).where("x < y").select("x", "y")
+    return between.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def similar_records(sets: DataFrame, threshold: float, across: bool = False, cell_rows: int = 24) -> DataFrame:
     """All pairs of records ``a, b`` whose sets reach ``threshold``, equal sets included.
 
-    ``sets(side, id, items array<string or bigint>)``, one row per record; ``side`` is ``l`` or ``r`` (any one value within
-    one table). Equal sets are joined once, as a class, and expanded at the end. Null and empty sets and null elements
-    form no pair, repeated elements count once, tied elements rank by value; an empty table gives no rows.
+    Takes what ``similar_classes`` takes. Equal sets are joined once, as a class, and expanded at the end. Null and empty
+    sets and null elements form no pair, repeated elements count once; an empty table gives no rows.
     """
-    reps, member = _classed(sets)
-    p = similar_pairs(reps, threshold, across)
-    if across:
-        same = reps.where("side = 'l'").select("items", F.col("id").alias("a")).join(reps.where("side = 'r'").select("items", F.col("id").alias("b")), "items").select("a", "b", F.lit(1.0).alias("similarity"))
-        p = p.unionByName(same).select("a", "b").distinct()
-        ma, mb = member.where("side = 'l'"), member.where("side = 'r'")
-        return p.join(ma.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(mb.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    ma, mb = member.select(F.col("cls").alias("a"), F.col("id").alias("x")), member.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    between = p.join(ma, "a").join(mb, "b").select("x", "y")
-    within = ma.join(mb, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    return between.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs, member = similar_classes(sets, threshold, across, cell_rows)
+    return expanded(pairs, member, across)
+
+
+def class_rows(sets: DataFrame, threshold: float, cell_rows: int = 24) -> DataFrame:
+    """One row per record with a set: ``id, class_id, copies, links``: its class of equal sets, how many records that class
+    has, and with how many other classes it is linked at ``threshold``."""
+    pairs, member = similar_classes(sets, threshold, False, cell_rows)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    copies = member.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+    per = copies.join(links, "cls", "left")
+    return member.join(per, "cls").select("id", F.col("cls").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _numbers(column: str):
+    """Hex digits, case-insensitive, as 64-bit hashes."""
+    return F.transform(column, lambda h: F.when(h.isNotNull(), F.xxhash64(F.lower(h))))
 
 
 def _prints(spark: SparkSession, d: str, column: str) -> DataFrame:
     f = latest(table(spark, d, "fingerprints").select("fp_id", column, "received_at"), "fp_id")
-    return f.select(F.lit("r").alias("side"), F.col("fp_id").alias("id"), F.transform(column, F.lower).alias("items"))
+    return f.select(F.lit("r").alias("side"), F.col("fp_id").alias("id"), _numbers(column).alias("items"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    windows, functions = _prints(spark, d, "window_hashes"), _prints(spark, d, "function_hashes")
-    entries = table(spark, d, "dictionary").select(F.lit("l").alias("side"), F.col("entry_no").alias("id"), F.transform("window_hashes", F.lower).alias("items"))
+    windows, functions = cut(_prints(spark, d, "window_hashes")), _prints(spark, d, "function_hashes")
+    entries = table(spark, d, "dictionary").select(F.lit("l").alias("side"), F.col("entry_no").alias("id"), _numbers("window_hashes").alias("items"))
     kinds = [("window", similar_records(windows, 0.7)), ("function", similar_records(functions, 0.6)), ("entry", similar_records(windows.unionByName(entries), 0.5, across=True))]
+    free(windows)
     one = [p.select(F.lit(k).alias("pair_kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b")) for k, p in kinds]
     return one[0].unionByName(one[1]).unionByName(one[2])
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same within ``fingerprints`` without expanding copies: one row a fingerprint and kind, with its class and links."""
+    kinds = [("window", "window_hashes", 0.7), ("function", "function_hashes", 0.6)]
+    one = [class_rows(_prints(spark, d, c), t).select(F.lit(k).alias("pair_kind"), F.col("id").alias("fp_id"), "class_id", "copies", "links") for k, c, t in kinds]
+    return one[0].unionByName(one[1])
+
+
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes}
 _SETS = """with f as (select distinct fp_id, lower(h) as h from fingerprints, unnest({c}) as u(h) where h is not null), n as (select fp_id, count(*) as n from f group by fp_id),
 o as (select a.fp_id as a, b.fp_id as b, count(*) as k from f a join f b on a.h = b.h and a.fp_id < b.fp_id group by all)
 select '{k}' as pair_kind, a as key_a, b as key_b from o join n x on x.fp_id = a join n y on y.fp_id = b where k / (x.n + y.n - k) >= {t}"""
@@ -122,5 +97,11 @@ SQL = {
 union all select * from (with f as (select distinct fp_id, lower(h) as h from fingerprints, unnest(window_hashes) as u(h) where h is not null), n as (select fp_id, count(*) as n from f group by fp_id),
 e as (select distinct entry_no, lower(h) as h from dictionary, unnest(window_hashes) as u(h) where h is not null), m as (select entry_no, count(*) as n from e group by entry_no),
 o as (select entry_no as a, fp_id as b, count(*) as k from e join f using (h) group by all)
-select 'entry' as pair_kind, a as key_a, b as key_b from o join m on m.entry_no = a join n on n.fp_id = b where k / (m.n + n.n - k) >= 0.5::double)"""
+select 'entry' as pair_kind, a as key_a, b as key_b from o join m on m.entry_no = a join n on n.fp_id = b where k / (m.n + n.n - k) >= 0.5::double)""",
 }
+_CLASSES = """with f as (select distinct fp_id, lower(h) as h from fingerprints, unnest({c}) as u(h) where h is not null), g as (select fp_id, string_agg(h, ' ' order by h) as bag, count(*) as n from f group by fp_id),
+m as (select fp_id, n, min(fp_id) over (partition by bag) as cls, count(*) over (partition by bag) as copies from g), r as (select * from f where fp_id in (select cls from m)),
+o as (select a.fp_id as a, b.fp_id as b, count(*) as k from r a join r b on a.h = b.h and a.fp_id <> b.fp_id group by all),
+l as (select a as cls, count(*) as links from o join g x on x.fp_id = a join g y on y.fp_id = b where k / (x.n + y.n - k) >= {t} group by a)
+select '{k}' as pair_kind, fp_id, cls as class_id, copies, coalesce(links, 0) as links from m left join l using (cls)"""
+SQL["p5_classes"] = "select * from (" + _CLASSES.format(c="window_hashes", k="window", t="0.7::double") + ") union all select * from (" + _CLASSES.format(c="function_hashes", k="function", t="0.6::double") + ")"
