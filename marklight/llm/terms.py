@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklight.session import table
+from marklight.operators.skew import heavy_keys, skew_join
+from marklight.session import cut, table
 
 
 def _stacks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,21 +58,19 @@ def term_counts(sequences: DataFrame, max_terms: int = 1, hot_rows: int = 200_00
 
     ``sequences(record, terms array<string>)`` may hold several rows a record. Each position gives one suffix of at most
     ``max_terms`` terms, equal ones of a record are added up before the shuffle, and suffixes are routed by their first
-    term and sorted in reverse order; one pass with a stack then counts all prefixes at once. A first term with
-    more than ``hot_rows`` suffixes is split by record, so that no task gets all of it and its sets of records stay small;
-    its parts have no record in common and add up exactly.
+    term and sorted in reverse order; one pass with a stack then counts all prefixes at once. A first term is split by
+    record into parts of about ``hot_rows`` suffixes, at any size of the input, so that no task gets all of a frequent term and no
+    set of records outgrows a part; the parts have no record in common and add up exactly.
 
     Null terms, null records and null or empty sequences count nowhere; repeated rows count as often as they stand.
     """
     s = sequences.where("record is not null").select(F.col("record").cast("string").alias("record"), F.filter("terms", lambda x: x.isNotNull()).alias("terms")).where("size(terms) > 0")
     at = s.select("record", F.posexplode("terms").alias("pos", "first"), "terms")
     suffix = at.select("record", "first", F.slice("terms", F.col("pos") + 1, max_terms).alias("suffix"))
-    suffix = suffix.groupBy("record", "first", "suffix").agg(F.count(F.lit(1)).alias("hits"))
-    # the bound on a part's rows grows with the input, so that at most 10,000 first terms are hot
+    suffix = cut(suffix.groupBy("record", "first", "suffix").agg(F.count(F.lit(1)).alias("hits")))
     counts = suffix.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    limit = F.greatest(F.lit(hot_rows).cast("bigint"), F.coalesce(F.ceil(counts.agg(F.sum("n").alias("all")).scalar() / 10_000), F.lit(0).cast("bigint")))
-    hot = counts.where(F.col("n") > limit).select("first", F.ceil(F.col("n") / limit).alias("parts"))
-    salted = suffix.join(F.broadcast(hot), "first", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("record"), F.col("parts")), F.lit(0)).cast("int"))
+    parts = counts.select("first", F.ceil(F.col("n") / hot_rows).alias("parts"))
+    salted = skew_join(suffix, parts, "first", heavy_keys(suffix, "first", suffix.count())).withColumn("salt", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int"))
     routed = salted.select("first", "salt", "suffix", "record", "hits").repartition("first", "salt").sortWithinPartitions("first", "salt", F.desc("suffix"))
     part = routed.mapInPandas(_stacks, "terms array<string>, hits bigint, records bigint")
     return part.groupBy("terms").agg(F.sum("hits").alias("hits"), F.sum("records").alias("records"))
@@ -117,4 +116,7 @@ SQL = {
 t as (select count(distinct submission_id) as total from scan_hits)
 select name as function_name, case when n < 3 then 'rare' else 'common' end as mark from c, t where n < 3 or n > 0.25 * total""",
     "p2_counts": _H + "select name as function_name, count(*) as hits, count(distinct submission_id) as submissions from h group by name",
+    "p2_call_runs": _H + """, s as (select submission_id, file, list(name order by line_no nulls first, col_no nulls first, hit_id) as t from h group by submission_id, file),
+g as (select submission_id, t[i:i + n - 1] as g from (select *, unnest(range(1, len(t) - n + 2)) as i from (select *, unnest([2, 3]) as n from s)))
+select array_to_string(g, ' ') as calls, len(g)::bigint as length, count(*) as hits, count(distinct submission_id) as submissions from g group by g having count(distinct submission_id) > 1""",
 }
