@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marklight.operators.skew import heavy_keys, skew_join
+from marklight.operators.skew import heavy_of, skew_join
 from marklight.session import cut
 
 TOKEN = (
@@ -299,7 +299,7 @@ def log_entries(texts: DataFrame, messages: bool = True) -> DataFrame:
     parts = cut(partition(shapes))
     known = cut(parts.join(leaf_slots(templates(parts)), LEAF).select("shape", "time_kind", "time_pos", "level_pos", "comp_pos", "head_pos"))
     # one shape may be a third of all lines: such shapes meet their slots by broadcast
-    got = skew_join(lines.drop("masked"), known, "shape", heavy_keys(lines, "shape", lines.count()))
+    got = skew_join(lines.drop("masked"), known, "shape", heavy_of(parts, "shape", "weight", lines.count()))
     t = lambda c, k=0: F.get("tokens", F.col(c) - 1 + k)
     utc = lambda x: F.timestamp_add("SECOND", F.unix_seconds(x), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("string")
     day, clock = F.substring(utc(F.col("started_at")), 1, 10), F.regexp_replace(t("time_pos", 1), ",", ".")

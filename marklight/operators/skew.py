@@ -16,6 +16,11 @@ def heavy_keys(df: DataFrame, key: str | list[str], rows: int, limit: int = 100_
     return df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*_keys(key))
 
 
+def heavy_of(counts: DataFrame, key: str | list[str], n: str, rows: int, limit: int = 100_000) -> DataFrame:
+    """The same from ``counts``, which already has the number ``n`` of rows of each key."""
+    return counts.where(F.col(n) > max(limit, rows // 10_000)).select(*_keys(key))
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], heavy: DataFrame) -> DataFrame:
     """Inner join where ``left`` may hold many rows of one key and ``right`` has one row a key.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marklight.functions.ctok import CLASSES
@@ -17,9 +17,12 @@ def doc_units(spark: SparkSession, d: str) -> DataFrame:
     return fp.text_units(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "source_files").select("file_id", "content", "received_at"), "file_id").select(F.col("file_id").alias("id"), "content")
+
+
 def file_units(spark: SparkSession, d: str) -> DataFrame:
-    f = latest(table(spark, d, "source_files").select("file_id", "content", "received_at"), "file_id")
-    return fp.c_units(f.select(F.col("file_id").alias("id"), "content"))
+    return fp.c_units(_contents(spark, d))
 
 
 def entry_units(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +30,11 @@ def entry_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fp_windows(spark, d):
-    w = fp.windows(doc_units(spark, d))
-    return w.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.sum("k").alias("windows"), F.count(F.lit(1)).alias("distinct_windows")).withColumnRenamed("id", "doc_id")
+    """Windows and distinct windows of every document with units; a document's windows are counted within one row."""
+    u = doc_units(spark, d).where(F.size("tokens") >= fp.WINDOW)
+    cuts = F.transform(F.sequence(F.lit(1), F.size("tokens") - (fp.WINDOW - 1)), lambda i: F.xxhash64(F.slice("tokens", i, fp.WINDOW)))
+    w = u.select("id", cuts.alias("w")).groupBy("id").agg(F.flatten(F.collect_list("w")).alias("w"))
+    return w.select(F.col("id").alias("doc_id"), F.size("w").cast("bigint").alias("windows"), F.size(F.array_distinct("w")).cast("bigint").alias("distinct_windows"))
 
 
 def fp_functions(spark, d):
@@ -68,6 +74,24 @@ def sim_combined(spark, d):
     return sim.similar_records(reps, 0.7)
 
 
+def sim_all_pairs(spark, d):
+    """Every document whose id is divisible by 20 with all documents it shares a window with, flagged from a score of 0.7; one
+    representative of each class. Pairs that aren't listed score 0."""
+    reps, _ = sim.classes(cut(doc_units(spark, d)))
+    return sim.query_pairs(reps, F.col("id") % 20 == 0, THRESHOLD)
+
+
+def sim_evidence(spark, d):
+    """For pairs of ``sim_pairs`` the windows both have, in order, and how often each document has them."""
+    reps, _ = sim.classes(cut(doc_units(spark, d)))
+    reps = cut(reps)
+    p = sim.window_pairs(reps, 0.7).select("a", "b")
+    n = cut(fp.windows(reps).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")))
+    e = p.join(n.select(F.col("id").alias("a"), "hash", F.col("n").alias("n_a")), "a").join(n.select(F.col("id").alias("b"), "hash", F.col("n").alias("n_b")), ["b", "hash"])
+    no = F.row_number().over(Window.partitionBy("a", "b").orderBy("hash")).cast("bigint")
+    return e.select("a", "b", no.alias("match_no"), F.substring("hash", 1, 8).alias("hash8"), "n_a", "n_b")
+
+
 def sim_best_match(spark, d):
     units = cut(doc_units(spark, d))
     reps, _ = sim.classes(units)
@@ -127,12 +151,15 @@ def c_classes(spark, d):
 
 
 def c_evidence(spark, d):
-    """For pairs of ``c_similar`` the shared windows with merged byte spans on both sides."""
-    reps, _ = sim.classes(cut(file_units(spark, d)))
+    """For pairs of ``c_similar`` the shared windows in order, with merged spans on both sides: bytes, lines, columns and snippet."""
+    files = _contents(spark, d)
+    units = cut(fp.c_units(files))
+    reps, _ = sim.classes(units)
     reps = cut(reps)
-    p = cut(sim.similar_records(reps, THRESHOLD).select("a", "b"))
-    e = sim.evidence(p, reps)
-    return e.select("a", "b", "hash8", F.size("spans_a").cast("bigint").alias("n_spans_a"), F.size("spans_b").cast("bigint").alias("n_spans_b"), "spans_a", "spans_b")
+    p = sim.similar_records(reps, THRESHOLD).select("a", "b")
+    e = sim.evidence(p, reps, files)
+    text = lambda c: F.transform(c, lambda s: s.withField("snippet", F.hex(s["snippet"])))
+    return e.select("a", "b", "match_no", "hash8", F.size("spans_a").cast("bigint").alias("n_spans_a"), F.size("spans_b").cast("bigint").alias("n_spans_b"), text("spans_a").alias("spans_a"), text("spans_b").alias("spans_b"))
 
 
 def _dict(spark, d):
@@ -195,7 +222,7 @@ def best_entry_trimmed(spark, d):
 
 QUERIES = {
     "fp_windows": fp_windows, "fp_functions": fp_functions, "fp_ident_ordinals": fp_ident_ordinals, "fp_operator_classes": fp_operator_classes, "sim_pairs": sim_pairs, "sim_classes": sim_classes,
-    "sim_combined": sim_combined, "sim_best_match": sim_best_match, "sim_trimmed": sim_trimmed, "sim_exact_functions": sim_exact_functions,
+    "sim_combined": sim_combined, "sim_all_pairs": sim_all_pairs, "sim_evidence": sim_evidence, "sim_best_match": sim_best_match, "sim_trimmed": sim_trimmed, "sim_exact_functions": sim_exact_functions,
     "c_functions": c_functions, "c_similar": c_similar, "c_classes": c_classes, "c_evidence": c_evidence, "c_dict_matches": c_dict_matches,
     "dict_matches": dict_matches, "dict_results": dict_results, "dict_errors": dict_errors, "dict_summary": dict_summary, "dict_validate": dict_validate, "best_entry_trimmed": best_entry_trimmed,
 }
@@ -212,6 +239,8 @@ SQL = {
     "sim_pairs": _U + "select * from pairs where score >= 0.7::double",
     "sim_classes": _U + "select id as doc_id, class_id from m",
     "sim_combined": _U + "select *, true as flagged from comb where similarity_percent >= 70 - 1e-9",
+    "sim_all_pairs": _U + "select *, similarity_percent >= 70 - 1e-9 as flagged from comb where a % 20 = 0 or b % 20 = 0",
+    "sim_evidence": _U + ", o as (select id, hash, count(*) as n from w group by all) select a, b, row_number() over (partition by a, b order by x.hash) as match_no, x.hash[1:8] as hash8, x.n as n_a, y.n as n_b from pairs join o x on x.id = a join o y on y.id = b and y.hash = x.hash where score >= 0.7::double",
     "sim_best_match": _U + "select best.* from best join pairs using (a, b) where score >= 0.5::double",
     "sim_trimmed": _U + "select count(*) as total, count(*) as flagged from comb where similarity_percent >= 85",
     "sim_exact_functions": _U + "select hash, count(distinct id) as documents, min(id) as first_doc from h group by hash having count(distinct id) > 1",

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marklight.operators import detection, fingerprint as fp, similarity as sim
 
@@ -61,10 +62,30 @@ def test_window_wider_than_unit(spark):
 
 
 def test_evidence_spans(spark):
-    code = b"int f(int a) { a = a + 1; a = a + 1; a = a + 1; return a; }\n"
-    u = fp.c_units(spark.createDataFrame([(1, bytearray(code)), (2, bytearray(b"/* x */ " + code)), (3, None)], "id int, content binary"), 10)
-    e = sim.evidence(spark.createDataFrame([(1, 2)], "a int, b int"), u).collect()
-    assert e and all(len(r.spans_a) == len(r.spans_b) and r.spans_b[0].start == r.spans_a[0].start + 8 and len(r.hash8) == 8 for r in e)
+    code = b"int f(int a) { a = a + 1; a = a + 1; a = a + 1;\n return a; }\n"
+    f = spark.createDataFrame([(1, bytearray(code)), (2, bytearray(b"/* x\n */ " + code)), (3, None)], "id int, content binary")
+    u = fp.c_units(f, 10)
+    p = spark.createDataFrame([(1, 2)], "a int, b int")
+    e = sim.evidence(p, u).collect()
+    assert e and all(len(r.spans_a) == len(r.spans_b) and r.spans_b[0].start == r.spans_a[0].start + 9 and len(r.hash8) == 8 for r in e)
+    assert [r.match_no for r in sorted(e, key=lambda r: r.hash)] == list(range(1, len(e) + 1))
+    data = {1: code, 2: b"/* x\n */ " + code}
+    for r in sim.evidence(p, u, f).collect():
+        for key, s in [(1, s) for s in r.spans_a] + [(2, s) for s in r.spans_b]:
+            for pos, line, col in ((s.start, s.start_line, s.start_col), (s.end, s.end_line, s.end_col)):
+                before = data[key][:pos]
+                assert (line, col) == (before.count(b"\n") + 1, pos - (before.rfind(b"\n") + 1) + 1)
+            assert bytes(s.snippet) == data[key][s.start : s.end].replace(b"\n", b" ").strip()
+
+
+def test_queries_with_all_records(spark):
+    u = units_of(spark, docs())
+    reps, _ = sim.classes(u)
+    want = brute(docs(), 1e-12)
+    for pick in (lambda i: i % 5 == 0, lambda i: i >= 0):
+        got = {(r.a, r.b): (r.similarity_percent / 100, r.flagged) for r in sim.query_pairs(reps, F.col("id") % 5 == 0 if pick(1) is False else F.lit(True), 0.7).collect()}
+        some = {k: v for k, v in want.items() if pick(k[0]) or pick(k[1])}
+        assert got.keys() == some.keys() and all(abs(got[k][0] - v) < 1e-9 and got[k][1] == (v >= 0.7 - 1e-9) for k, v in some.items())
 
 
 def test_dictionary(spark):
