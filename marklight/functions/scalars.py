@@ -90,7 +90,7 @@ def includes_header(content: Column, header: str) -> Column:
     """Whether a source includes ``header``; a line comment before it doesn't count, a block comment isn't seen."""
     import re
 
-    return content.rlike(r'(?m)^\s*#\s*include\s*["<]' + re.escape(header) + r'[">]')
+    return content.rlike(r'(?md)^\s*#\s*include\s*["<]' + re.escape(header) + r'[">]')
 
 
 def byte_snippet(content: Column, start: Column, end: Column, most: int = 80) -> Column:

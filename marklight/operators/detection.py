@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from marklight.session import cut
 
 
-def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: the join then shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df``, computed once and marked for broadcast if it takes at most ``most`` bytes in memory; else the join shuffles it.
+
+    Texts and binaries count by their length, arrays by that of their JSON, all else as 16 bytes; the rows stay the same either way.
+    """
+    df = cut(df)
+    size = F.lit(16 * len(df.columns) + 16).cast("bigint")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.length(F.to_json(f.name)), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def dictionary_matches(sets: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:

@@ -44,6 +44,58 @@ def manifest(files: DataFrame) -> DataFrame:
     return f.withColumns({"start_line": start, "used": used}).select("key", "path", "start_line", (F.col("start_line") + F.col("used") - 1).alias("end_line"))
 
 
+def concatenated(files: DataFrame) -> DataFrame:
+    """``key, text, files array<struct<path, start_line, end_line>>``: the C sources and headers of each key as one text.
+
+    ``files(key, path, content string)``, in path order, each behind a marker line and closed by a newline; only paths that end in ``.c``
+    or ``.h`` (any case) count. A key's sources are gathered in one row, as is the point of it; null contents are empty.
+    """
+    c = files.where(F.lower("path").rlike(r"\.[ch]$") & F.col("key").isNotNull()).select("key", "path", F.coalesce("content", F.lit("")).alias("content"))
+    one = c.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("f"))
+    text = F.array_join(F.transform("f", lambda x: F.concat(F.lit("/* ==== "), x["path"], F.lit(" ==== */\n"), x["content"], F.lit("\n"))), "")
+    breaks = lambda x: F.length(x["content"]) - F.length(F.replace(x["content"], F.lit("\n"), F.lit("")))
+    used = lambda x: breaks(x) + F.when(x["content"].endswith("\n"), 0).otherwise(1)
+    # a marker and the closing newline besides its own
+    starts = F.aggregate("f", F.array(F.lit(2)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + breaks(x) + 2))
+    spans = F.transform("f", lambda x, i: F.struct(x["path"].alias("path"), F.get(starts, i).cast("bigint").alias("start_line"), (F.get(starts, i) + used(x) - 1).cast("bigint").alias("end_line")))
+    return one.select("key", text.alias("text"), spans.alias("files"))
+
+
+def included_headers(files: DataFrame) -> DataFrame:
+    """``id, header``: what the sources ``files(id, content string)`` include, each once; line comments before it don't count, a block
+    comment isn't seen."""
+    found = F.regexp_extract_all("content", F.lit(r'(?md)^\s*#\s*include\s*["<]([^">\n]*)[">]'), F.lit(1))
+    return files.where("content is not null").select("id", F.explode(F.array_distinct(found)).alias("header"))
+
+
+def library_files(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """``name, length, linked, warning`` of library files ``wanted(name)``, looked up in ``found(path, length)`` by name.
+
+    A file that isn't there is not linked, nor is an empty object file; an object file under 50 bytes is linked with a warning.
+    """
+    j = wanted.join(found.select(F.col("path").alias("name"), "length"), "name", "left")
+    obj = F.col("name").endswith(".o")
+    warning = (
+        F.when(F.col("length").isNull(), F.concat(F.lit("Warning: Library file not found: "), "name"))
+        .when(obj & (F.col("length") == 0), F.concat(F.lit("Warning: Object file is empty: "), "name"))
+        .when(obj & (F.col("length") < 50), F.concat(F.lit("Warning: Object file seems corrupted: "), "name"))
+    )
+    linked = F.col("length").isNotNull() & ~(obj & (F.col("length") == 0))
+    return j.select("name", "length", linked.alias("linked"), warning.alias("warning"))
+
+
+def library_use(sources: DataFrame, libraries: DataFrame) -> DataFrame:
+    """``id, library`` for every source that has to be linked with a library: it includes one of the library's headers.
+
+    ``sources(id, content string)``, ``libraries(library, header)``; a library whose only header is null goes with every
+    source. An equi-join on the header, so any number of libraries will do.
+    """
+    heads = libraries.where("header is not null").select("library", "header").distinct()
+    always = libraries.groupBy("library").agg(F.max("header").alias("h")).where("h is null").agg(F.collect_list("library").alias("l"))
+    by_header = included_headers(sources).join(heads, "header").select("id", "library").distinct()
+    return by_header.unionByName(sources.select("id").distinct().select("id", F.explode(always.select("l").scalar()).alias("library")))
+
+
 def numbered_ids(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``unique_id``: the nth repeat of a key gets ``-n`` from the second on."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))

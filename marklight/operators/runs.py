@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marklight.functions.scalars import crash_reason, trim_space
@@ -92,7 +92,93 @@ def run_verdicts(runs: DataFrame) -> DataFrame:
 def test_summary(cases: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per key; what is missing counts on its own, whatever the status."""
     s = F.col("status")
-    return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"), F.count_if(s == "pass").alias("passed"), F.count_if(s == "compile_failed").alias("compile_failed"), F.count_if(~s.isin("pass", "compile_failed")).alias("failed"), F.count_if(F.col("output_match") == "missing").alias("missing_expected"))
+    return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"), F.count_if(s == "pass").alias("passed"), F.count_if(s == "compile_failed").alias("compile_failed"), F.count_if(~s.isin("pass", "compile_failed", "not_run")).alias("failed"), F.count_if(F.col("output_match") == "missing").alias("missing_expected"))
+
+
+#: What a row of a test says besides its status.
+MESSAGES = {
+    "compile_failed": "Compilation failed; test was not executed.",
+    "missing": "Expected output file was not found.",
+    "memory": "Valgrind reported memory or file descriptor issues.",
+}
+
+
+def memory_missing(message: Column) -> Column:
+    """What stands for the report of a memory checker that left none: status ``missing`` and all numbers 0."""
+    return _no_report("missing", message)
+
+
+def memory_failure(message: Column) -> Column:
+    """What stands for a report that can't be used: status ``fail`` and all numbers 0."""
+    return _no_report("fail", message)
+
+
+def _no_report(status: str, message: Column) -> Column:
+    none = F.lit(0).cast("bigint")
+    numbers = ["errors", *LEAKS, "open_fds", "std_fds", "extra_fds"]
+    return F.struct(F.lit(status).alias("status"), message.alias("message"), *[none.alias(n) for n in numbers], F.lit(False).alias("fails"))
+
+
+def case_results(compiled: DataFrame, cases: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``submission_id, case_index, status, message, output_match``: one row for every submission and test case.
+
+    ``compiled(submission_id, ok, timed_out)``, one row a submission; ``cases(case_index)``, the test cases, a small table of settings;
+    ``verdicts`` of ``run_verdicts`` with ``submission_id, case_index, memory``, at most one row for each of both. Where compiling failed every
+    case is ``compile_failed``, run or not; a case that wasn't run is ``not_run``. Null keys are left out.
+    """
+    all_ = cases.where("case_index is not null").agg(F.sort_array(F.collect_set("case_index")).alias("cases"))
+    each = compiled.where("submission_id is not null").withColumn("failed", F.coalesce("timed_out", F.lit(False)) | ~F.coalesce("ok", F.lit(False)))
+    # every case of every submission: the few cases go to the submissions as one value
+    each = each.select("submission_id", "failed", F.explode(all_.select("cases").scalar()).alias("case_index"))
+    ran = verdicts.select("submission_id", "case_index", F.col("status").alias("ran"), "crash_reason", "output_match", F.coalesce("memory.fails", F.lit(False)).alias("leaks"), F.coalesce(F.col("memory.status") == "missing", F.lit(False)).alias("unreported"), F.col("memory.message").alias("report"))
+    j = each.join(ran, ["submission_id", "case_index"], "left")
+    status = F.when(F.col("failed"), "compile_failed").otherwise(F.coalesce("ran", F.lit("not_run")))
+    message = (
+        F.when(F.col("failed"), MESSAGES["compile_failed"])
+        .when(F.col("crash_reason") != "", F.concat(F.lit("Program crashed: "), F.col("crash_reason")))
+        .when(F.col("output_match") == "missing", MESSAGES["missing"])
+        .when(F.col("unreported"), F.col("report"))
+        .when(F.col("leaks"), MESSAGES["memory"])
+        .otherwise("")
+    )
+    return j.select("submission_id", "case_index", status.alias("status"), message.alias("message"), F.when(~F.col("failed"), F.col("output_match")).alias("output_match"))
+
+
+def scenario_processes(submissions: DataFrame, scenarios: list[dict], executables: list[str]) -> DataFrame:
+    """``submission_id, scenario, process, args, input, delay_ms``: what each submission has to run.
+
+    Every executable (named by its source's stem) runs once in every scenario, whether the scenario names it or not; ``scenarios`` are
+    a policy's settings with ``name``, ``process_args``, ``process_inputs`` and ``process_delays`` by executable.
+    """
+    rows = []
+    for s in scenarios:
+        for source in executables:
+            name = source.rsplit("/", 1)[-1].removesuffix(".c")
+            args = (s.get("process_args") or {}).get(name) or []
+            rows.append(F.struct(
+                F.lit(s.get("name")).cast("string").alias("scenario"), F.lit(name).alias("process"), F.array(*map(F.lit, args)).cast("array<string>").alias("args"),
+                F.lit((s.get("process_inputs") or {}).get(name, "")).alias("input"), F.lit(int((s.get("process_delays") or {}).get(name, 0))).alias("delay_ms"),
+            ))
+    if not rows:
+        return submissions.select("submission_id", F.lit("").alias("scenario"), F.lit("").alias("process"), F.array().cast("array<string>").alias("args"), F.lit("").alias("input"), F.lit(0).alias("delay_ms")).limit(0)
+    return submissions.where("submission_id is not null").select("submission_id", F.explode(F.array(*rows)).alias("p")).select("submission_id", "p.*")
+
+
+def running(rows: DataFrame, key: str, order: list[str], value: Column, stripe: Column) -> DataFrame:
+    """Adds ``place``, ``total`` and ``best`` to rows: their number in the ``order`` of their key, how many the key has, and the highest
+    ``value`` so far.
+
+    ``stripe`` cuts the order into stretches (it must grow with the first of ``order``), which are numbered apart and put together by their sums:
+    a key that holds a large part of all rows is not sorted in one task.
+    """
+    r = rows.withColumns({"_stripe": stripe, "_value": value})
+    sums = r.groupBy(key, "_stripe").agg(F.count(F.lit(1)).alias("n"), F.max("_value").alias("m"))
+    w = Window.partitionBy(key).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(key, "_stripe", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_before"), F.max("m").over(w).alias("_best"), F.sum("n").over(Window.partitionBy(key)).alias("total"))
+    own = Window.partitionBy(key, "_stripe").orderBy(*order)
+    j = r.join(before, [key, "_stripe"])
+    best = F.greatest(F.max("_value").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_best"))
+    return j.withColumns({"place": F.row_number().over(own) + F.col("_before"), "best": best}).drop("_stripe", "_value", "_before", "_best")
 
 
 def submission_status(ok: Column, timed_out: Column, hits: Column) -> Column:

@@ -22,9 +22,7 @@ def token_bucket(spark, d):
 
 def event_sessions(spark, d):
     """Sessions over all users: no pause longer than ten minutes."""
-    e = _events(table(spark, d, "events")).withColumn("key", F.lit(1))
-    # one key by definition; sessions of a table merge in the aggregation, map-side first
-    s = state.sessions(e)
+    s = state.table_sessions(_events(table(spark, d, "events")))
     return s.agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("longest"))
 
 
@@ -49,7 +47,14 @@ def event_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (token_bucket, event_sessions, stream_progress, stream_token_bucket, event_windows)}
+_BUCKET = """with recursive e as (select user_id, epoch_us(ts) / 1e6 as at, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null and ts is not null),
+r as (select user_id, i, at, 2.0::double as tokens, true as ok from e where i = 1 union all
+  select user_id, i, at, case when have >= 1 then have - 1 else have end, have >= 1 from (select e.user_id, e.i, e.at, least(3.0::double, r.tokens + (e.at - r.at) / 21600.0) as have from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+select user_id, count(*) filter (ok) as allowed, count(*) filter (not ok) as rejected from r group by user_id"""
 SQL = {
+    "token_bucket": _BUCKET,
+    "stream_token_bucket": _BUCKET,
+    "stream_progress": "select user_id as key, time_bucket(interval '15 minutes', ts::timestamp) as since, max(value) as fraction from events where ts is not null group by all",
     "event_sessions": "with o as (select epoch_us(ts) as t, lag(epoch_us(ts)) over (order by ts) as p from events), s as (select sum(case when p is null or t - p >= 600000000 then 1 else 0 end) over (order by t rows unbounded preceding) as s from o), c as (select s, count(*) as n from s group by s) select count(*) as sessions, sum(n)::bigint as events, max(n) as longest from c",
     "event_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(avg(value), 6) as mean from events group by all",
 }

@@ -143,14 +143,83 @@ def dictionary_rows(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(got, "row bigint, id string, title string, code string")
 
 
-def save_run(run: DataFrame, at: str) -> None:
-    """Run states by ``run_id``, one folder each; other runs stay."""
-    run.write.mode("append").partitionBy("run_id").json(at)
+def with_banned(policies_: DataFrame, text: str | None) -> DataFrame:
+    """Policies with ``banned array<string>``, the global list of ``banned_functions``; empty without one."""
+    return policies_.withColumn("banned", F.array(*map(F.lit, banned_functions(text))).cast("array<string>"))
+
+
+def discover_policies(spark: SparkSession, folder: str, banned: str | None = None) -> DataFrame:
+    """Policies of the files directly in ``folder`` that end in ``.yaml`` or ``.yml`` (small letters), with the banned list.
+
+    Files that can't be read are left out; a folder that isn't there has none.
+    """
+    if not _exists(spark, folder):
+        empty = spark.createDataFrame([], "path string, content binary")
+        return with_banned(policies(empty), banned).drop("error")
+    one = read_tree(spark, folder).where(~F.col("path").contains("/") & F.col("path").rlike(r"\.ya?ml$"))
+    return with_banned(policies(one).where("error is null"), banned).drop("error")
 
 
-def load_run(spark: SparkSession, at: str, run_id: str) -> DataFrame:
-    """One run's state; only its folder is listed. Empty if there is none."""
-    return spark.read.json(at).where(F.col("run_id").cast("string") == run_id)
+def _exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def expected_outputs(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    """``name, expected`` for the distinct ``names(name)``: the files' texts, null for one that isn't there. Each is read once."""
+    wanted = names.where("name is not null and name <> ''").select("name").distinct()
+    if not _exists(spark, folder):
+        return wanted.withColumn("expected", F.lit(None).cast("string"))
+    have = read_tree(spark, folder).select(F.col("path").alias("name"), F.decode("content", "UTF-8").alias("expected"))
+    return wanted.join(have, "name", "left")
+
+
+def save_run(run: DataFrame, at: str) -> None:
+    """Run states by ``run_id``, one folder each: a run saved again replaces its state, other runs stay."""
+    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(at)
+
+
+def load_run(spark: SparkSession, at: str, run_id: str, schema: str | None = None) -> DataFrame:
+    """One run's state with its ``run_id``; only its folder is read, with ``schema`` (of the other columns) in one pass. Empty if there is none."""
+    folder = f"{at.rstrip('/')}/run_id={run_id}"
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run_id) or not _exists(spark, folder):
+        return spark.createDataFrame([], (f"{schema}, " if schema else "") + "run_id string")
+    r = spark.read.schema(schema) if schema else spark.read
+    return r.json(folder).withColumn("run_id", F.lit(run_id))
+
+
+def export_entries(files: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """``entry, content`` of an export of ``files(path, content)``: the first folder of each path cleaned of its upload suffix,
+    logs of the memory checker left out, and a copy of every file of ``tests(name, content)``, a small table, in every first folder."""
+    from marklight.functions.scalars import clean_folder, skips_export
+
+    f = files.where("path is not null").select("path", "content")
+    parts = F.split("path", "/")
+    if tests is not None:
+        all_ = tests.agg(F.collect_list(F.struct("name", "content")).alias("t")).select("t").scalar()
+        first = f.where(F.instr("path", "/") > 0).select(F.get(parts, 0).alias("folder")).distinct()
+        copies = first.select("folder", F.explode(all_).alias("t")).select(F.concat_ws("/", "folder", "t.name").alias("path"), "t.content")
+        # a test file takes the place of one of the same name
+        f = f.join(copies.select("path"), "path", "left_anti").unionByName(copies)
+    name = F.element_at(F.split("path", "/"), -1)
+    entry = F.when(F.instr("path", "/") > 0, F.concat_ws("/", clean_folder(F.get(parts, 0)), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/"))).otherwise(clean_folder(F.col("path")))
+    return f.where(~skips_export(name)).select(entry.alias("entry"), "content")
+
+
+def export_archives(entries_: DataFrame) -> DataFrame:
+    """``folder, archive binary``: a zip of each first folder of ``export_entries``, deflated, entries in order. Folders are packed apart, each within one
+    task, so that an export of any size is written by all; their entries don't clash and the archives concatenate to the whole."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+            for entry, content in sorted(zip(pdf["entry"], pdf["content"]), key=lambda x: x[0]):
+                z.writestr(zipfile.ZipInfo(entry), content or b"", zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"folder": [pdf["folder"].iloc[0]], "archive": [b.getvalue()]})
+
+    folder = F.when(F.instr("entry", "/") > 0, F.get(F.split("entry", "/"), 0)).otherwise("")
+    return entries_.withColumn("folder", folder).groupBy("folder").applyInPandas(pack, "folder string, archive binary")
 
 
 def expired(files: DataFrame, days: int = 7) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,6 +24,31 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy("key", w.alias("w")).agg(F.count(F.lit(1)).alias("events")).select("key", "w.start", "w.end", "events")
 
 
+def table_sessions(events: DataFrame, gap_seconds: float = 600.0, stretch_seconds: int = 3600) -> DataFrame:
+    """``start, end, events``: stretches of all events of a table with no pause of ``gap_seconds`` or more, whatever their key.
+
+    ``events(ts timestamp)``; null times are left out. Each ``stretch_seconds`` of time are cut into sessions apart, then the first and last
+    session of each stretch are put together with their neighbours: one row a stretch meets in one task, never the events.
+    """
+    t = events.where("ts is not null").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).withColumn("at", F.floor(F.col("t") / (stretch_seconds * 1_000_000)))
+    gap = F.lit(int(gap_seconds * 1_000_000))
+    w = Window.partitionBy("at").orderBy("t")
+    new = F.when(F.col("t") - F.lag("t").over(w) < gap, 0).otherwise(1)
+    part = t.withColumn("new", new).withColumn("no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = part.groupBy("at", "no").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+    edge = part.groupBy("at").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.max("no").alias("parts"))
+    over = Window.orderBy("at")  # as many rows as there are stretches
+    edge = edge.withColumn("goes_on", F.coalesce(F.col("first") - F.lag("last").over(over) < gap, F.lit(False)))
+    # a stretch's last session has the name of the stretch in which it began
+    name = F.max(F.when(~(F.col("goes_on") & (F.col("parts") == 1)), F.col("at"))).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("name", name).withColumn("before", F.lag("name").over(over)).select("at", "goes_on", "parts", "name", "before")
+    j = part.join(edge, "at")
+    inner = (F.col("no") > 1) & (F.col("no") < F.col("parts"))
+    key = F.when((F.col("no") == 1) & F.col("goes_on"), F.struct(F.col("before").alias("at"), F.lit(-1).cast("bigint").alias("no"))).when((F.col("no") == F.col("parts")) & ~inner, F.struct(F.col("name").alias("at"), F.lit(-1).cast("bigint").alias("no"))).otherwise(F.struct("at", "no"))
+    s = j.withColumn("key", key).groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("events"))
+    return s.select(F.timestamp_micros("lo").alias("start"), F.timestamp_micros(F.col("hi") + gap).alias("end"), "events")
+
+
 class Bucket:
     """A bucket of ``burst`` tokens that fills by one every ``every`` seconds."""
 
@@ -74,7 +99,8 @@ def rate_limit_stream(events: DataFrame, every: float = 300.0, burst: float = 3.
             return
         tokens, last = state.get if state.exists else (None, None)
         bucket = Bucket(every, burst, tokens, last)
-        pdf = pd.concat(list(batches)).sort_values(["at", "id"])
+        # times and ids only, of one key and batch: how much that can be is set by what a batch reads (``read_stream``)
+        pdf = pd.concat([b[["at", "id"]] for b in batches]).sort_values(["at", "id"])
         allowed = [bucket.allow(at) for at in pdf["at"]]
         state.update((bucket.tokens, bucket.last))
         state.setTimeoutTimestamp(max(int(bucket.last * 1000) + ttl_ms, state.getCurrentWatermarkMs() + 1))
@@ -86,10 +112,10 @@ def rate_limit_stream(events: DataFrame, every: float = 300.0, burst: float = 3.
     return e.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, id {kinds['id']}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder as a stream of its files."""
+def read_stream(spark: SparkSession, folder: str, name: str, batch_bytes: int = 8 << 30) -> DataFrame:
+    """A table of a folder as a stream of its files, about ``batch_bytes`` in a batch (one file at least)."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxBytesPerTrigger", str(batch_bytes)).parquet(f"{folder}/{name}.parquet*")
 
 
 def drained(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
