@@ -54,10 +54,15 @@ def curve_key(vector: pd.Series) -> pd.Series:
 
 
 class Bins:
-    """Open containers of one capacity: best fit, the fullest that still holds the item."""
+    """Open containers of one capacity: best fit, the fullest that still holds the item.
 
-    def __init__(self, capacity: int, name):
-        self.capacity, self.name, self.open, self.out = capacity, name, [], []
+    A container stays open for ``lag`` windows behind the one it was opened in: it holds neighbours along the curve, and no more
+    containers are open than such a stretch can fill.
+    """
+
+    def __init__(self, capacity: int, name, lag: int):
+        self.capacity, self.name, self.lag = capacity, name, lag
+        self.open, self.out, self.born, self.window = [], [], {}, 0
 
     def put(self, item: tuple, size: int) -> None:
         i = bisect_left(self.open, (size, -1))
@@ -65,12 +70,18 @@ class Bins:
             room, bin_ = self.open.pop(i)
         else:
             room, bin_ = self.capacity, self.name()
+            self.born[bin_] = self.window
         self.out.append((*item, size, bin_))
         if room > size:
             insort(self.open, (room - size, bin_))
 
+    def next_window(self) -> None:
+        self.window += 1
+        self.open = [x for x in self.open if self.born[x[1]] + self.lag >= self.window]
+        self.born = {x[1]: self.born[x[1]] for x in self.open}
+
 
-def _pack(window: int):
+def _pack(window: int, lag: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -85,10 +96,11 @@ def _pack(window: int):
         pack, bins, held = None, None, []
 
         def flush() -> pd.DataFrame:
-            # longest first within a stretch of the curve; what stays open takes items of the next stretch too
+            # longest first within a stretch of the curve; what stays open takes items of the next stretches too
             for size, item in sorted(held, key=lambda x: -x[0]):
                 bins.put(item, size)
             held.clear()
+            bins.next_window()
             out, bins.out = bins.out, []
             return pd.DataFrame(out, columns=cols)
 
@@ -97,7 +109,7 @@ def _pack(window: int):
                 if p != pack:
                     if held:
                         yield flush()
-                    pack, bins = p, Bins(int(cap), name)
+                    pack, bins = p, Bins(int(cap), name, lag)
                 piece = 0
                 while tokens > cap:  # only a text beyond the capacity is split
                     held.append((int(cap), (p, key, piece)))
@@ -111,12 +123,12 @@ def _pack(window: int):
     return rows
 
 
-def packed(items: DataFrame, packs: DataFrame, window: int = 4096) -> DataFrame:
+def packed(items: DataFrame, packs: DataFrame, window: int = 4096, lag: int = 2) -> DataFrame:
     """``pack_id, container_id, id, piece, tokens`` for every item and every capacity.
 
     ``items(id, tokens, vector)``, ``packs(pack_id, capacity)``, a small table of settings. Items are sorted by range along
     the Hilbert curve of their vectors (ties by id, so that equal items spread over tasks), and each task packs its
-    stretch, ``window`` items at a time. An item is split only if it alone exceeds the capacity, into full pieces and a rest;
+    stretch, ``window`` items at a time; containers opened more than ``lag`` windows ago are closed. An item is split only if it alone exceeds the capacity, into full pieces and a rest;
     ``piece`` counts from 0 and piece k begins at token ``k * capacity``. Items without tokens go along in any container.
     Null sizes and capacities below 1 are left out; an empty table gives no rows.
     """
@@ -126,7 +138,7 @@ def packed(items: DataFrame, packs: DataFrame, window: int = 4096) -> DataFrame:
     none = F.array().cast("array<struct<pack_id:int,capacity:int>>")
     each = placed.withColumn("p", F.explode(F.array(*sizes) if sizes else none)).select("id", "tokens", "key", "p.pack_id", "p.capacity")
     sorted_ = each.repartitionByRange("pack_id", "key", "id").sortWithinPartitions("pack_id", "key", "id")
-    return sorted_.mapInPandas(_pack(window), "pack_id int, id bigint, piece int, tokens bigint, container_id bigint").select("pack_id", "container_id", "id", "piece", "tokens")
+    return sorted_.mapInPandas(_pack(window, lag), "pack_id int, id bigint, piece int, tokens bigint, container_id bigint").select("pack_id", "container_id", "id", "piece", "tokens")
 
 
 def _items(spark: SparkSession, d: str, path: str = TOKENIZER) -> DataFrame:
@@ -149,5 +161,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill.join(F.broadcast(_packs(spark, d)), "pack_id").select("pack_id", "container_id", "items", "tokens", "capacity", (F.col("tokens") / F.col("capacity")).alias("fill"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For every capacity how many texts are in containers, how many containers are over it, and how many texts were split
+    that would have fitted."""
+    p = cut(packed(_items(spark, d), _packs(spark, d)))
+    over = p.groupBy("pack_id", "container_id").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(_packs(spark, d)), "pack_id").groupBy("pack_id").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"))
+    own = p.groupBy("pack_id", "id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces")).join(F.broadcast(_packs(spark, d)), "pack_id")
+    texts = own.groupBy("pack_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split_in_vain"))
+    return texts.join(over, "pack_id").select("pack_id", "texts", "overfull", "split_in_vain")
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_whole": p8_whole}
+SQL = {"p8_whole": "select pack_id, count(*) as texts, 0 as overfull, 0 as split_in_vain from pack_sizes, documents where text is not null and capacity_tokens >= 1 group by pack_id"}

@@ -24,8 +24,9 @@ def tokenizer(path: str):
     return t
 
 
-def sized(texts: DataFrame, path: str = TOKENIZER, dims: int = 0, seed: int = 11) -> DataFrame:
-    """``id, tokens`` of ``texts(id, text)``, and with ``dims`` the ``vector``: hashed token counts, projected at random.
+def sized(texts: DataFrame, path: str = TOKENIZER, dims: int = 0, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, tokens`` of ``texts(id, text)``, the columns ``keep`` as they are, and with ``dims`` the ``vector``: hashed token counts,
+    projected at random.
 
     Null texts are left out, empty ones have no tokens and a zero vector. Whole texts are counted, in batches of some
     hundred, so that long ones don't pile up.
@@ -38,7 +39,7 @@ def sized(texts: DataFrame, path: str = TOKENIZER, dims: int = 0, seed: int = 11
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 ids = [e.ids for e in t.encode_batch(list(part["text"]), add_special_tokens=False)]
-                out = {"id": part["id"].to_numpy(), "tokens": [len(x) for x in ids]}
+                out = {"id": part["id"].to_numpy(), "tokens": [len(x) for x in ids], **{c: part[c].to_numpy() for c in keep}}
                 if dims:
                     vectors = []
                     for x in ids:
@@ -48,5 +49,6 @@ def sized(texts: DataFrame, path: str = TOKENIZER, dims: int = 0, seed: int = 11
                     out["vector"] = vectors
                 yield pd.DataFrame(out)
 
-    t = texts.where("text is not null").select(F.col("id").cast("bigint").alias("id"), "text")
-    return t.mapInPandas(rows, "id bigint, tokens bigint" + (", vector array<double>" if dims else ""))
+    t = texts.where("text is not null").select(F.col("id").cast("bigint").alias("id"), "text", *keep)
+    kinds = "".join(f", {c} {t.schema[c].dataType.simpleString()}" for c in keep)
+    return t.mapInPandas(rows, "id bigint, tokens bigint" + kinds + (", vector array<double>" if dims else ""))

@@ -1,33 +1,57 @@
-"""Text cut off by field limits: spikes in length histograms and incomplete last words."""
+"""Text cut off by field limits: spikes in length histograms, and incomplete last words.
+
+Everything that looks at the end of a text looks at the beginning of its reverse: patterns anchored there are linear in
+the text, however long its words or its runs of blanks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marklight.session import latest, table
+from marklight.operators.detection import bounded
+from marklight.operators.skew import heavy_keys, skew_join
+from marklight.session import cut, free, latest, table
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
-#: What runners and terminals put behind a cut text: dots, or a note in brackets on whose words the cut shows.
-MARK = r"(?i)(\s*(\.\.\.|…|[\[(<{][^\[\](){}<>\n]*\b(truncated|trunc|cut|cut off|omitted|snipped|clipped|shortened|abgeschnitten|lost|more)\b[^\[\](){}<>\n]*[\])>}]))+\s*$"
+#: Words of the notes that runners and terminals put in brackets behind a cut text.
+NOTES = ["truncated", "trunc", "cut", "cut off", "omitted", "snipped", "clipped", "shortened", "abgeschnitten", "lost", "more"]
+#: What stands behind a cut text, in reverse: dots, or a note in brackets.
+MARK = r"(?i)^\s*((\.\.\.|…|[\])>}][^\[\](){}<>\n]*\b(" + "|".join(n[::-1] for n in NOTES) + r")\b[^\[\](){}<>\n]*[\[(<{])\s*)+"
+#: Terminal punctuation, closing brackets and quotes.
+STOP = r"[.!?:;,)\]}\"']+"
+
+
+def ends(texts: DataFrame) -> DataFrame:
+    """How texts end: ``chars, bytes`` and ``bare_chars, bare_bytes`` (without cut marks), ``last``: the last word if nothing but
+    a cut mark and blanks stand behind it, ``stopped``: the word before a final sign, ``damaged``: a final replacement character.
+
+    Words are in lower case; no word is an empty text.
+    """
+    t = texts.withColumn("rev", F.reverse("text"))
+    t = t.withColumn("bare", F.regexp_replace("rev", MARK, ""))
+    t = t.withColumn("tail", F.regexp_replace("bare", r"^[\s\u200b\ufeff]+", ""))
+    word = lambda p: F.lower(F.reverse(F.regexp_extract("tail", p, 1)))
+    return t.withColumns({
+        "chars": F.length("text"), "bytes": F.octet_length("text"), "bare_chars": F.length("bare"), "bare_bytes": F.octet_length("bare"),
+        "last": word(f"^({WORD})"), "stopped": word(f"^{STOP}({WORD})"), "damaged": F.col("tail").startswith("\ufffd"),
+    }).drop("rev", "bare", "tail")
+
 
+UNITS = ["chars", "bytes", "bare_chars", "bare_bytes"]
 
-def length_spikes(texts: DataFrame, least: int = 5, factor: float = 6.0, tail: float = 0.02) -> DataFrame:
-    """Lengths at which texts of a source and column pile up: ``source, field_name, unit, length``.
 
-    ``texts(source, field_name, text)``. One histogram of lengths in characters, one in bytes, for texts as they stand and
-    without cut marks. A length is a spike if at least ``least`` texts have it, ``factor`` times as many as the mean of the ten
+def length_spikes(measured: DataFrame, least: int = 5, factor: float = 6.0, tail: float = 0.02) -> DataFrame:
+    """Lengths at which texts of a source and column pile up at the maximum: ``source, field_name, unit, length``.
+
+    ``measured(source, field_name, chars, bytes, bare_chars, bare_bytes)`` of ``ends``. One histogram for each unit. A length
+    is a spike if at least ``least`` texts have it, ``factor`` times as many as the mean of the ten
     lengths around it, and at most the share ``tail`` of the source's texts is longer. Histograms combine map-side: a
     source with most of the rows costs one row per length.
     """
-    bare = F.regexp_replace("text", MARK, "")
-    units = F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")),
-        F.struct(F.lit("bare_chars").alias("unit"), F.length(bare).alias("length")),
-        F.struct(F.lit("bare_bytes").alias("unit"), F.octet_length(bare).alias("length")),
-    )
-    h = texts.select("source", "field_name", F.explode(units).alias("u")).groupBy("source", "field_name", "u.unit", "u.length").agg(F.count(F.lit(1)).alias("n"))
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS])
+    h = measured.select("source", "field_name", F.explode(units).alias("u")).groupBy("source", "field_name", "u.unit", "u.length").agg(F.count(F.lit(1)).alias("n"))
+    h = cut(h)
     near = h.select("source", "field_name", "unit", F.explode(F.sequence(F.col("length") - 5, F.col("length") + 5)).alias("length"), F.col("n").alias("m"), F.col("length").alias("at"))
     around = near.where("at <> length").groupBy("source", "field_name", "unit", "length").agg((F.sum("m") / 10).alias("around"))
     # how many are longer: totals per block of 64 lengths, one row a block however many texts, then the rest of the own block
@@ -43,55 +67,73 @@ def length_spikes(texts: DataFrame, least: int = 5, factor: float = 6.0, tail: f
     return out.where(F.col("later") + F.coalesce("within", F.lit(0)) <= tail * F.col("total")).select(*keys, "length", "n")
 
 
-def vocabulary(texts: DataFrame, least: int = 1) -> DataFrame:
-    """Words that stand somewhere before the last word of a text, lower case: ``word``. These are known to be whole."""
-    inner = F.regexp_replace(F.regexp_replace(F.lower("text"), MARK, ""), WORD + r"[^\p{L}\p{M}\p{N}_]*$", "")
-    words = texts.select(F.explode(F.regexp_extract_all(inner, F.lit(WORD), F.lit(0))).alias("word"))
-    return words.where(~F.col("word").rlike(r"^\d+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
+def word_evidence(texts: DataFrame) -> DataFrame:
+    """``word, whole, ending, at_limit``: how often each word stands whole (inside a text or before a final sign), and how often it
+    ends a text unstopped, away from any limit and at one. ``texts(text, last, stopped, at_limit)``; counts combine map-side."""
+    none = F.lit(0).cast("bigint")
+    inner = F.reverse(F.regexp_replace(F.regexp_replace(F.reverse(F.lower("text")), MARK, ""), r"^[^\p{L}\p{M}\p{N}_]*" + WORD, ""))
+    inside = texts.select(F.explode(F.regexp_extract_all(inner, F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("whole"))
+    one = inside.select("word", "whole", none.alias("ending"), none.alias("limit"))
+    two = texts.where("stopped <> ''").groupBy(F.col("stopped").alias("word")).agg(F.count(F.lit(1)).alias("whole")).select("word", "whole", none.alias("ending"), none.alias("limit"))
+    three = texts.where("last <> ''").groupBy(F.col("last").alias("word")).agg(none.alias("whole"), F.count_if(~F.col("at_limit")).alias("ending"), F.count_if("at_limit").alias("limit"))
+    words = one.unionByName(two).unionByName(three).where(~F.col("word").rlike(r"^\d+$"))
+    return words.groupBy("word").agg(F.sum("whole").alias("whole"), F.sum("ending").alias("ending"), F.sum("limit").alias("limit"))
 
 
-def truncated(texts: DataFrame) -> DataFrame:
-    """Texts whose end is missing: ``texts(record_id, source, field_name, text)`` with ``at_limit`` and ``why``.
+def judged_ends(words: DataFrame, rare: float = 1e-4, habit: float = 0.1) -> DataFrame:
+    """``last, half, known`` for every word of ``word_evidence`` that ends a text.
 
-    A text counts as cut if, behind any cut mark, its last character is a replacement character, or its last word is no word
-    that stands inside any text but the beginning of one, or, at a spike of its source's lengths, it ends in
-    a number or in a word that neither stands inside any text nor ends texts elsewhere. The spikes find cuts at a limit; a text that broke off in transfer has any length, so its last word has to show it.
-    A text at a spike with whole last word is no case.
+    ``half``: longer words begin with it that stand whole or end texts, and it stands whole less than ``rare`` times as often as
+    they, and isn't in the habit of ending texts (``habit``, its own text aside). ``known``: it stands whole, more than ``rare`` as often as
+    longer words, or is in that habit. Shares, not counts: the judgement of a word doesn't change as the collection grows.
+    Only beginnings as long as some last word are made of a word, as hashes, so a very long word costs no more than its length.
+    """
+    last = words.where("ending + limit > 0")
+    sizes = last.select(F.length("word").alias("size")).distinct().agg(F.sort_array(F.collect_list("size")).alias("sizes"))
+    sized = words.withColumn("size", F.length("word")).withColumn("sizes", sizes.select("sizes").scalar())
+    begun = sized.select(F.explode(F.filter("sizes", lambda n: n < F.col("size"))).alias("n"), "word", (F.col("whole") + F.col("ending")).alias("k"))
+    begun = begun.select("n", F.xxhash64(F.substring(F.col("word"), F.lit(1), F.col("n"))).alias("h"), "k").groupBy("n", "h").agg(F.sum("k").alias("longer"))
+    j = last.withColumns({"n": F.length("word"), "h": F.xxhash64("word")}).join(begun, ["n", "h"], "left").withColumn("longer", F.coalesce("longer", F.lit(0)))
+    whole = (F.col("whole") > 0) & (F.col("whole") >= rare * F.col("longer"))
+    half = (F.col("longer") > 0) & ~whole & (F.col("ending") - 1 <= habit * F.col("longer"))
+    known = whole | ((F.col("ending") > 0) & (F.col("ending") > habit * F.col("longer")))
+    return j.select(F.col("word").alias("last"), half.alias("half"), known.alias("known"))
+
+
+def truncated(texts: DataFrame, spikes: DataFrame | None = None) -> DataFrame:
+    """Texts whose end is missing: ``record_id, source, field_name, at_limit, why`` of ``texts(record_id, source, field_name, text)``.
+
+    At a spike of its source's lengths (``length_spikes``, unless ``spikes`` are given) a text without terminal punctuation is cut, unless its
+    last word is known to be whole: ``why`` is ``cut at limit``, or ``number at limit`` if it ends in a number. Such a word needs to
+    begin nothing: ids, paths and rare names count. Texts that broke off in transfer have any length, so they have to show it: their last
+    word is no word but the beginning of one (``broken off``). A final replacement character is ``damaged`` anywhere. Cut marks are seen through.
 
     Null and empty texts are no cases; a null source is a source of its own; repeated rows are judged alike.
     """
-    t = texts.where("text is not null and text <> ''").withColumn("source", F.coalesce("source", F.lit("\u0000")))
-    bare = F.regexp_replace(F.regexp_replace("text", MARK, ""), r"[\s​﻿]+$", "")
-    t = t.withColumns({"bare": bare, "marked": F.col("text").rlike(MARK)})
-    t = t.withColumn("last", F.lower(F.regexp_extract("bare", f"({WORD})$", 1)))
-    spikes = length_spikes(t).select("source", "field_name", "unit", "length").distinct()
-    units = [("chars", F.length("text")), ("bytes", F.octet_length("text")), ("bare_chars", F.length(F.regexp_replace("text", MARK, ""))), ("bare_bytes", F.octet_length(F.regexp_replace("text", MARK, "")))]
-    # at most one spike per 50 lengths' worth of texts: the table is as small as there are limits in use
-    per = spikes.groupBy("source", "field_name").agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"at_{u}") for u, _ in units])
-    t = t.join(per, ["source", "field_name"], "left")
+    t = texts.where("text is not null and text <> ''").select("record_id", F.coalesce("source", F.lit("\u0000")).alias("source"), "field_name", "text")
+    t = cut(ends(t))
+    spikes = length_spikes(t) if spikes is None else spikes.withColumn("source", F.coalesce("source", F.lit("\u0000")))
+    # as many rows as there are sources with limits
+    at_unit = [F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"at_{u}") for u in UNITS]
+    per = cut(spikes.select("source", "field_name", "unit", "length").distinct().groupBy("source", "field_name").agg(*at_unit))
     at = F.lit(False)
-    for u, size in units:
-        at = at | F.coalesce(F.array_contains(f"at_{u}", size), F.lit(False))
-    t = t.withColumn("at_limit", at).drop(*[f"at_{u}" for u, _ in units])
-    vocab = vocabulary(t)
-    ends = t.where("last <> '' and not last rlike '^[0-9]+$'").select("last").distinct()
-    # words that only ever end texts (a farewell, a prompt) have beginnings too; three texts away from any limit vouch for one
-    closing = t.where("not at_limit and last <> '' and not last rlike '^[0-9]+$'").groupBy(F.col("last").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("word")
-    starts = vocab.unionByName(closing).where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))")).alias("last")).distinct()
-    halves = ends.join(starts, "last", "left_semi").join(vocab.withColumnRenamed("word", "last"), "last", "left_anti").withColumn("half", F.lit(True))
-    # ids, paths and rare names are cut to what begins no known word; at a limit it is enough that nothing vouches for the word
-    odd = t.where("at_limit and last <> '' and not last rlike '^[0-9]+$'").select("last").distinct()
-    # a final sign vouches too: the word before it is whole
-    stopped = t.where("not at_limit").select(F.lower(F.regexp_extract("bare", f"({WORD})[.!?:;,)\\]}}\"']+$", 1)).alias("word")).where("word <> ''").distinct()
-    odd = odd.join(vocab.unionByName(closing).unionByName(stopped).withColumnRenamed("word", "last"), "last", "left_anti").withColumn("odd", F.lit(True))
-    j = t.join(halves, "last", "left").join(odd, "last", "left")
-    why = (
-        F.when(F.col("bare").rlike("�$"), "damaged")
-        .when(F.col("half"), "half word")
-        .when(F.col("at_limit") & F.col("bare").rlike(r"\d$"), "number at limit")
-        .when(F.col("at_limit") & F.col("odd"), "unknown word at limit")
-    )
-    return j.withColumn("why", why).where("why is not null").withColumn("source", F.nullif("source", F.lit("\u0000"))).select("record_id", "source", "field_name", "text", "at_limit", "why")
+    for u in UNITS:
+        at = at | F.coalesce(F.array_contains(f"at_{u}", F.col(u)), F.lit(False))
+    m = cut(t.join(bounded(per), ["source", "field_name"], "left").withColumn("at_limit", at).select("record_id", "source", "field_name", "last", "stopped", "damaged", "at_limit", "text"))
+    free(t, per)
+    words = cut(word_evidence(m))
+    verdicts = cut(judged_ends(words).where("half or not known"))
+    out = m.drop("text", "stopped")
+    number = F.col("last").rlike(r"^\d+$")
+    worded = out.where((F.col("last") != "") & ~number & ~F.col("damaged"))
+    j = skew_join(worded, verdicts, "last", heavy_keys(worded, "last", worded.count()))
+    j = j.withColumn("why", F.when(F.col("at_limit"), F.when(~F.col("known"), "cut at limit")).when(F.col("half"), "broken off"))
+    plain = out.withColumn("why", F.when(F.col("damaged"), "damaged").when(F.col("at_limit") & F.col("last").rlike(r"\d$") & number, "number at limit"))
+    cols = ["record_id", "source", "field_name", "at_limit", "why"]
+    got = j.select(*cols).unionByName(plain.select(*cols)).where("why is not null")
+    got = cut(got.withColumn("source", F.nullif("source", F.lit("\u0000"))))
+    free(m, words, verdicts)
+    return got
 
 
 def _outputs(spark: SparkSession, d: str) -> DataFrame:

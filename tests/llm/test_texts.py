@@ -27,6 +27,37 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def _limit_rows():
+    text = lambda i: "some words " * (2 + i % 9) + "ready."
+    rows = [(i, "s", "f", text(i)) for i in range(400)] + [(1000 + i, "s", "f", ("more words " * 17 + f"zq{chr(97 + i)}xv" * 20)[:200]) for i in range(6)]
+    return rows + [(2000 + i, "s", "f", "words more " * 17 + "ready".rjust(13)) for i in range(2)] + [(3000, "t", "f", "some qqv")]
+
+
+def test_unknown_word_at_a_limit(spark):
+    df = spark.createDataFrame(_limit_rows(), "record_id bigint, source string, field_name string, text string")
+    assert {r.record_id: r.why for r in truncation.truncated(df).collect()} == {1000 + i: "cut at limit" for i in range(6)}
+    # the spikes are what tells
+    none = truncation.length_spikes(truncation.ends(df)).limit(0)
+    assert truncation.truncated(df, none).count() == 0
+
+
+def test_ends_of_very_long_words(spark):
+    texts = ["x" * 1_000_000 + "!", "begin " + " " * 500_000 + "end" + " " * 500_000, "f" * 400_000, "", None, "a (" * 50_000, "kept whole [output truncated]"]
+    df = spark.createDataFrame([(i, None, "f", t) for i, t in enumerate(texts)], "record_id bigint, source string, field_name string, text string")
+    got = {r.record_id: r for r in truncation.ends(df).collect()}
+    assert got[0].last == "" and len(got[0].stopped) == 1_000_000 and got[1].last == "end" and len(got[2].last) == 400_000 and got[6].last == "whole"
+    assert truncation.truncated(df).count() == 0
+
+
+def test_judgement_of_a_word_does_not_depend_on_size(spark):
+    for times in (1, 50):
+        rows = [(w, k * times, e * times, 0) for w, k, e in (("quantity", 4000, 0), ("quan", 0, 3), ("quant", 1, 0), ("bye", 0, 90), ("byes", 2, 0), ("rest", 0, 0), ("restore", 70, 0))]
+        rows += [("rest", 60 * times, 5, 0)]
+        w = spark.createDataFrame(rows, "word string, whole bigint, ending bigint, limit bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("whole", "ending", "limit")])
+        got = {r.last: (r.half, r.known) for r in truncation.judged_ends(w).collect()}
+        assert got == {"quan": (True, False), "bye": (False, True), "rest": (False, True)}
+
+
 def test_hilbert_curve_is_continuous():
     n = 8
     pts = np.array([(x, y) for x in range(n) for y in range(n)])
@@ -63,6 +94,9 @@ def test_poisson_thresholds():
     t = mixing.poisson_thresholds(u, 3)
     assert np.allclose(t[0], -np.log(u)[...], atol=1e-6) or (np.diff(t, axis=0) > 0).all()
     # the count at a mean is the inverse of the Poisson distribution
+    many = mixing.poisson_thresholds(np.array([1e-16, 0.5, 1 - 1e-16]), 500)
+    assert (np.diff(many, axis=0) >= 0).all() and abs(many[79, 1] - 79.67) < 0.1 and abs(many[499, 1] - 499.67) < 0.1 and (many[499] < mixing.top_mean(500)).all()
+    assert abs(mixing.mean_draw(1) - (1 - np.exp(-1))) < 1e-9
     for lam in (0.3, 1.0, 2.5):
         cdf = [np.exp(-lam), np.exp(-lam) * (1 + lam), np.exp(-lam) * (1 + lam + lam**2 / 2)]
         assert ((t < lam).sum(axis=0) == sum((u > c).astype(int) for c in cdf)).all()
@@ -85,6 +119,27 @@ def test_mixing(spark):
     assert mixing.mixed(items.limit(0), targets).count() == 0 and mixing.mixed(items, targets.limit(0)).count() == 0
 
 
+def test_mixing_reaches_any_cap(spark):
+    items = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(200)], "id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([(1, "a", 0.5, 80), (1, "b", 0.5, 80), (2, "a", 0.8, 3), (2, "b", 0.2, 200)], "mix_id int, source string, share double, most int")
+    got = mixing.mixed(items, targets).collect()
+    total = {m: sum(x.tokens * x.repeats for x in got if x.mix_id == m) for m in (1, 2)}
+    a = {m: sum(x.tokens * x.repeats for x in got if x.mix_id == m and x.source == "a") for m in (1, 2)}
+    assert abs(total[1] - 2 * 1000 * mixing.mean_draw(80)) < 300 and abs(a[1] / total[1] - 0.5) < 0.005 and abs(a[2] / total[2] - 0.8) < 0.01
+    repeats = [x.repeats for x in got if x.mix_id == 2 and x.source == "a"]
+    assert max(repeats) == 3 and min(repeats) < 3  # drawn, not all at the cap
+
+
+def test_containers_hold_neighbours():
+    bins = packing.Bins(10, iter(range(1000)).__next__, 2)
+    for window in range(6):
+        bins.put((window,), 6)
+        bins.next_window()
+        assert len(bins.open) <= 3
+    bins.put(("last",), 4)
+    assert {x[0]: x[2] for x in bins.out}["last"] >= 3  # an earlier container would have had room
+
+
 def test_tokens(spark):
     t = tokens.tokenizer(tokens.TOKENIZER)
     texts = ["hello world", "", "x" * 50_000, "<|endoftext|>", "日本 größe"]
@@ -125,7 +180,25 @@ def test_personal_spans(spark):
     assert pii.personal_spans(df.limit(0)).count() == 0
 
 
+def test_names_by_shares(spark):
+    """One hit decides nothing, however large the collection; words that are given names too may be names within a sentence."""
+    people = [f"ask {g} {f} now" for g in ("Maria", "Ivo", "Hedda", "Marit") for f in ("Lopez", "Keller", "Tane", "Roth", "Elverson")]
+    plain = ["the mark is low", "a mark of ten", "mark it"] + ["a rose"] * 3
+    for times, more in ((1, []), (1, ["the Maria Lopez from Porto"]), (10, ["the Maria Lopez from Porto"]), (1, ["maria sings"])):
+        texts = people * times + plain * times + [x.replace("low", "high") for x in more] + ["I asked Mark Dunmore and Rose Elverson today"]
+        df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+        got = [texts[r.id][r.start_char : r.end_char] for r in pii.personal_spans(df).collect()]
+        want = 20 * times + sum("Maria Lopez" in x for x in more)
+        assert len([x for x in got if x not in ("Mark Dunmore", "Rose Elverson")]) == want and {"Mark Dunmore", "Rose Elverson"} <= set(got)
+
+
+def test_many_spans_in_one_text():
+    text = "mail a@b.example or call +44 20 7946 0114 and " * 20_000
+    assert len(pii.find_spans(text)) == 40_000
+
+
 def test_validators():
+    assert pii.mod23("12345678Z") and pii.mod23("X1234567L") and not pii.mod23("12345678A") and pii.mod11_10("86095742719") and not pii.mod11_10("86095742710") and pii.key97("255081416802538") and not pii.key97("255081416802539")
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
     kinds = [s[0] for s in pii.find_spans("card 4539 5787 6362 1486, not 4539 5787 6362 1487, account GB82 WEST 1234 5698 7654 32")]
     assert kinds.count("id_number") == 2
@@ -149,3 +222,10 @@ def test_queries_with_sql(spark, name):
     r = c.execute(catalog.oracle_sql()[name])
     names = [x[0] for x in r.description]
     assert sorted(map(str, (tuple(x[n] for n in names) for x in df.collect()))) == sorted(map(str, r.fetchall()))
+
+
+def test_one_article_is_no_veto(spark):
+    texts = ["I heard that Maria Keller left", "die Anna Schmidt kam", "ask Anna Schmidt now", "call Anna Schmidt now", "use the Ring Puffer now", "fill the Ring Puffer or Ring Puffer"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = [(r.id, texts[r.id][r.start_char : r.end_char]) for r in pii.personal_spans(df).collect()]
+    assert sorted(got) == [(0, "Maria Keller"), (1, "Anna Schmidt"), (2, "Anna Schmidt"), (3, "Anna Schmidt")]
