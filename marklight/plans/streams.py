@@ -47,9 +47,9 @@ def event_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (token_bucket, event_sessions, stream_progress, stream_token_bucket, event_windows)}
-_BUCKET = """with recursive e as (select user_id, epoch_us(ts) / 1e6 as at, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null and ts is not null),
-r as (select user_id, i, at, 2.0::double as tokens, true as ok from e where i = 1 union all
-  select user_id, i, at, case when have >= 1 then have - 1 else have end, have >= 1 from (select e.user_id, e.i, e.at, least(3.0::double, r.tokens + (e.at - r.at) / 21600.0) as have from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+_BUCKET = """with recursive e as (select user_id, epoch_us(ts) / 1e6 as sec, row_number() over (partition by user_id order by ts, event_id) as i from events where user_id is not null and ts is not null),
+r as (select user_id, i, sec, 2.0::double as tokens, true as ok from e where i = 1 union all
+  select user_id, i, sec, case when have >= 1 then have - 1 else have end, have >= 1 from (select e.user_id, e.i, e.sec, least(3.0::double, r.tokens + (e.sec - r.sec) / 21600.0) as have from r join e on e.user_id = r.user_id and e.i = r.i + 1))
 select user_id, count(*) filter (ok) as allowed, count(*) filter (not ok) as rejected from r group by user_id"""
 SQL = {
     "token_bucket": _BUCKET,
