@@ -70,9 +70,9 @@ def candidate_pairs(sets: DataFrame, threshold: float, across: bool = False, cel
     rows = cut(first.select("side", "id", "n", F.col("c.cell").alias("cell"), F.col("c.pos").alias("pos")).withColumn("small", short))
     found, made = [], []
     for depth in range(1, levels + 1):
-        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.min("side").alias("s"), F.max("side").alias("t"), F.count_if("small").alias("ks")).where("k > 1 and ks > 0" + (" and s <> t" if across else "")).select("cell", "k", "ks")
+        sizes = cut(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.min("side").alias("s"), F.max("side").alias("t"), F.count_if("small").alias("ks")).where("k > 1 and ks > 0" + (" and s <> t" if across else "")).select("cell", "k", "ks"))
         live = cut(skew_join(rows, sizes, "cell", heavy_of(sizes, "cell", "k", rows.count())))
-        free(rows)
+        free(rows, sizes)
         made.append(live)
         found.append(meet(live.where(F.col("k") <= cell_rows), depth, ["cell"]))
         hot = live.where(F.col("k") > cell_rows)
@@ -122,8 +122,8 @@ def set_classes(sets: DataFrame, heavy_rows: int = 100_000) -> tuple[DataFrame,
     items = F.sort_array(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))
     one = cut(sets.where("id is not null and items is not null").select("side", "id", items.alias("items")).where("size(items) > 0"))
     key = one.select("side", "id", F.concat_ws("-", "side", F.size("items").cast("string"), F.xxhash64("items").cast("string"), F.xxhash64(F.lit(1), "items").cast("string")).alias("key"))
-    least = key.groupBy("key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("rows"))
+    least = cut(key.groupBy("key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("rows")))
     member = cut(skew_join(key, least, "key", heavy_of(least, "key", "rows", one.count(), heavy_rows)).select("side", "id", "cls"))
     reps = cut(one.join(member.where("id = cls").select("side", "id"), ["side", "id"], "left_semi"))
-    free(one)
+    free(one, least)
     return reps, member

@@ -10,14 +10,11 @@ def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def heavy_keys(df: DataFrame, key: str | list[str], rows: int, limit: int = 100_000) -> DataFrame:
-    """Keys of ``df`` with more rows than ``limit``; raised with ``rows`` so that there are at most 10,000 of them."""
-    limit = max(limit, rows // 10_000)
-    return df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*_keys(key))
-
-
 def heavy_of(counts: DataFrame, key: str | list[str], n: str, rows: int, limit: int = 100_000) -> DataFrame:
-    """The same from ``counts``, which already has the number ``n`` of rows of each key."""
+    """Keys with more rows than ``limit``; raised with ``rows`` (of all keys) so that there are at most 10,000 of them.
+
+    ``counts`` is a table of ``cut`` that has the number ``n`` of rows of each key.
+    """
     return counts.where(F.col(n) > max(limit, rows // 10_000)).select(*_keys(key))
 
 
@@ -25,9 +22,12 @@ def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], heavy: Da
     """Inner join where ``left`` may hold many rows of one key and ``right`` has one row a key.
 
     Rows of a heavy key stay where they are and meet their one right row by broadcast (``heavy`` has at most 10,000
-    keys, see ``heavy_keys``); the rest is a plain equi-join.
+    keys, see ``heavy_of``); the rest is a plain equi-join, and so is all of it if no key is heavy. ``heavy`` is looked at while
+    planning: it should come from a table of ``cut``.
     """
     k = _keys(key)
+    if heavy.isEmpty():
+        return left.join(right, k)
     hot = F.broadcast(heavy)
     a = left.join(F.broadcast(right.join(hot, k, "left_semi")), k)
     b = left.join(hot, k, "left_anti").join(right, k)
