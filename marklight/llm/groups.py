@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklight.operators.skew import heavy_keys, skew_join
-from marklight.session import cut, table
+from marklight.operators.skew import heavy_of, skew_join
+from marklight.session import cut, free, table
 
 
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", heavy_rows: int = 100_000) -> DataFrame:
@@ -29,10 +29,11 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", heavy_rows: i
         if (now.n, now.x) == state:
             break
         state = (now.n, now.x)
-        least = c.groupBy("v").agg(F.min("u").alias("m"))
-        j = skew_join(c, least, "v", heavy_keys(c, "v", now.n, heavy_rows))
+        least = cut(c.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("rows")))
+        j = skew_join(c, least, "v", heavy_of(least, "v", "rows", now.n, heavy_rows))
         send = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
-        c = cut(j.select(send.alias("e")).select("e.v", "e.u").distinct())
+        before, c = c, cut(j.select(send.alias("e")).select("e.v", "e.u").distinct())
+        free(before, least)
     return c.groupBy("v").agg(F.min("u").alias("group")).withColumnRenamed("v", "node")
 
 

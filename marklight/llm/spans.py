@@ -172,19 +172,19 @@ def shared_runs(texts: DataFrame, span: int = 200, later_only: bool = False, blo
     """
     t = texts.where("id is not null and content is not null and length(content) > 0").select("id", "content")
     units = cut(t.mapInPandas(_unit_rows(span, block), "id bigint, before bigint, at bigint, unit bigint, around bigint"))
-    classes = units.groupBy("unit").agg(
+    classes = cut(units.groupBy("unit").agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"), (F.bool_or(F.col("around").isNull()) | (F.min("around") != F.max("around"))).alias("differ")
-    ).where("lo < hi").select("unit", "lo", "n", "differ")
+    ).where("lo < hi").select("unit", "lo", "n", "differ"))
     held = cut(skew_join(units, classes, "unit", heavy_of(classes, "unit", "n", units.count())).select("id", "before", "at", "differ", "lo"))
-    free(units)
+    free(units, classes)
     whole = held.where("not differ" + (" and id <> lo" if later_only else "")).select("id", F.col("before").alias("start"), (F.col("at") + span).alias("end"))
     marks = held.where("differ").groupBy("id").agg(F.collect_set("at").alias("marks"))
     windows = cut(t.join(marks, "id", "left").mapInPandas(_window_rows(span, block), "id bigint, start bigint, h bigint, k int"))
-    keys = windows.groupBy("h", "k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "k", "lo", "n")
+    keys = cut(windows.groupBy("h", "k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "k", "lo", "n"))
     hits = skew_join(windows, keys, ["h", "k"], heavy_of(keys, ["h", "k"], "n", windows.count()))
     hits = hits.where(F.col("id") != F.col("lo")) if later_only else hits
     runs = cut(merge_spans(whole.unionByName(hits.select("id", "start", (F.col("start") + span).alias("end"))), ["id"]))
-    free(held, windows)
+    free(held, windows, keys)
     return runs
 
 

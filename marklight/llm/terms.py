@@ -69,7 +69,7 @@ def term_counts(sequences: DataFrame, max_terms: int = 1, hot_rows: int = 200_00
     suffix = at.select("record", "first", F.slice("terms", F.col("pos") + 1, max_terms).alias("suffix"))
     suffix = cut(suffix.groupBy("record", "first", "suffix").agg(F.count(F.lit(1)).alias("hits")))
     counts = suffix.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select("first", "n", F.ceil(F.col("n") / hot_rows).alias("parts"))
+    parts = cut(counts).select("first", "n", F.ceil(F.col("n") / hot_rows).alias("parts"))
     salted = skew_join(suffix, parts, "first", heavy_of(parts, "first", "n", suffix.count())).withColumn("salt", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int"))
     routed = salted.select("first", "salt", "suffix", "record", "hits").repartition("first", "salt").sortWithinPartitions("first", "salt", F.desc("suffix"))
     part = routed.mapInPandas(_stacks, "terms array<string>, hits bigint, records bigint")

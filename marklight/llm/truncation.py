@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marklight.operators.detection import bounded
-from marklight.operators.skew import heavy_keys, skew_join
+from marklight.operators.skew import heavy_of, skew_join
 from marklight.session import cut, free, latest, table
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
@@ -81,7 +81,7 @@ def word_evidence(texts: DataFrame) -> DataFrame:
 
 
 def judged_ends(words: DataFrame, rare: float = 1e-4, habit: float = 0.1) -> DataFrame:
-    """``last, half, known`` for every word of ``word_evidence`` that ends a text.
+    """``last, half, known`` for every word of ``word_evidence`` that ends a text, and ``rows``: how many it ends.
 
     ``half``: longer words begin with it that stand whole or end texts, and it stands whole less than ``rare`` times as often as
     they, and isn't in the habit of ending texts (``habit``, its own text aside). ``known``: it stands whole, more than ``rare`` as often as
@@ -97,7 +97,7 @@ def judged_ends(words: DataFrame, rare: float = 1e-4, habit: float = 0.1) -> Dat
     whole = (F.col("whole") > 0) & (F.col("whole") >= rare * F.col("longer"))
     half = (F.col("longer") > 0) & ~whole & (F.col("ending") - 1 <= habit * F.col("longer"))
     known = whole | ((F.col("ending") > 0) & (F.col("ending") > habit * F.col("longer")))
-    return j.select(F.col("word").alias("last"), half.alias("half"), known.alias("known"))
+    return j.select(F.col("word").alias("last"), half.alias("half"), known.alias("known"), (F.col("ending") + F.col("limit")).alias("rows"))
 
 
 def truncated(texts: DataFrame, spikes: DataFrame | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def truncated(texts: DataFrame, spikes: DataFrame | None = None) -> DataFrame:
     out = m.drop("text", "stopped")
     number = F.col("last").rlike(r"^\d+$")
     worded = out.where((F.col("last") != "") & ~number & ~F.col("damaged"))
-    j = skew_join(worded, verdicts, "last", heavy_keys(worded, "last", worded.count()))
+    j = skew_join(worded, verdicts, "last", heavy_of(verdicts, "last", "rows", worded.count()))
     j = j.withColumn("why", F.when(F.col("at_limit"), F.when(~F.col("known"), "cut at limit")).when(F.col("half"), "broken off"))
     plain = out.withColumn("why", F.when(F.col("damaged"), "damaged").when(F.col("at_limit") & F.col("last").rlike(r"\d$") & number, "number at limit"))
     cols = ["record_id", "source", "field_name", "at_limit", "why"]
