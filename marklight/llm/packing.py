@@ -172,4 +172,4 @@ def p8_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_whole": p8_whole}
-SQL = {"p8_whole": "select pack_id, count(*) as texts, 0 as overfull, 0 as split_in_vain from pack_sizes, documents where text is not null and capacity_tokens >= 1 group by pack_id"}
+SQL = {"p8_whole": "select pack_id, count(*) as texts, 0::bigint as overfull, 0::bigint as split_in_vain from pack_sizes, documents where text is not null and capacity_tokens >= 1 group by pack_id"}

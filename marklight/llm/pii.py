@@ -21,6 +21,8 @@ LOCAL = r"(?<![\w.+%-])[A-Za-z0-9_][A-Za-z0-9._%+-]*"
 EMAIL = re.compile(rf"{LOCAL}{AT}{LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z]{{2,}}(?![\w@-])", re.I)
 #: With a bare "at" the dots must be spelt too, else any two words around "at" would do.
 SAID_EMAIL = re.compile(rf"{LOCAL}{SAID_AT}{LABEL}(?:\s*[(\[{{]?\b(?:dot|punkt|punto|point)\b[)\]}}]?\s*{LABEL})+(?![\w@-])", re.I)
+AT_SIGN = re.compile(r"@|&#64;|&commat;|[(\[{<]\s*(?:at|ät|a|arroba|arobase)\s*[)\]}>]", re.I)
+SAID_DOT = re.compile(r"\b(?:dot|punkt|punto|point)\b", re.I)
 PLAIN_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+@{LABEL}(?:\.{LABEL})+")
 PHONE = re.compile(
     r"(?<![\w./#@:+-])(?:"
@@ -93,6 +95,8 @@ def key97(digits: str) -> bool:
     return 97 - int(digits[:-2]) % 97 == int(digits[-2:])
 
 
+#: Where any of the shapes below may begin: all have a digit behind four letters and a sign at the latest.
+ID_BEGIN = re.compile(r"(?<![\w./#-])(?=[A-Za-z]{0,4}[ -]?\d)")
 # Shapes of identity numbers, with the score of the shape alone and the check that confirms it, if the number has one.
 ID_SHAPES = [
     (0.7, re.compile(r"(?<![\w./#-])\d{3}([ -])\d{2}\1\d{4}(?![\w-]|[./]\d)"), None),  # social or tax number
@@ -133,14 +137,20 @@ def find_spans(text: str, least: float = 0.5) -> list[tuple]:
             out.append((kind, a, b, round(score, 2), None, a, False, False))
             insort(taken, (a, b))
 
-    for shape in (EMAIL, SAID_EMAIL):
-        for m in shape.finditer(text):
+    # most texts have nothing that a mailbox can't do without
+    for shape, sign in ((EMAIL, AT_SIGN), (SAID_EMAIL, SAID_DOT)):
+        for m in shape.finditer(text) if sign.search(text) else ():
             add("email", m.start(), m.end(), 0.9 if PLAIN_EMAIL.fullmatch(m.group(0)) else 0.7)
     for m in ADDRESS.finditer(text):
         add("street_address", m.start(), m.end(), 0.8)
+    begins = [m.start() for m in ID_BEGIN.finditer(text)]
     for base, shape, check in ID_SHAPES:
-        for m in shape.finditer(text):
-            score = base
+        end = 0
+        for at in begins:
+            m = shape.match(text, at) if at >= end else None
+            if not m:
+                continue
+            score, end = base, m.end()
             if check:
                 score += 0.4 if check(re.sub(r"[ -]", "", m.group(0))) else -0.4
             add("id_number", m.start(), m.end(), score + _near(text, m.start(), "id_number"))
