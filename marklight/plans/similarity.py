@@ -176,6 +176,18 @@ def c_dict_matches(spark, d):
     return detection.detection_results(ids, m, errors).select(F.col("id").alias("file_id"), "best_score", "match_count", "flagged", "parse_error")
 
 
+def c_dict_evidence(spark, d):
+    """For flagged matches of ``c_dict_matches`` the shared windows in order, with merged spans in the file and in the entry's code."""
+    sets, entries = _dict(spark, d)
+    m = cut(detection.dictionary_matches(sets, entries, 0.7)).where("flagged")
+    # entries under negative numbers beside the files; 0 is no entry
+    code = table(spark, d, "dictionary").where("code is not null").select((-F.col("entry_no") - 1).alias("id"), F.encode("code", "utf-8").alias("content"))
+    both = cut(_contents(spark, d).unionByName(code))
+    e = sim.evidence(m.select(F.col("id").alias("a"), (-F.col("entry") - 1).alias("b")), cut(fp.c_units(both)), both)
+    text = lambda c: F.transform(c, lambda s: s.withField("snippet", F.hex(s["snippet"])))
+    return e.select(F.col("a").alias("file_id"), (-F.col("b") - 1).alias("entry_no"), "match_no", "hash8", text("spans_a").alias("spans"), text("spans_b").alias("entry_spans"))
+
+
 def _prints(spark, d):
     f = latest(table(spark, d, "fingerprints").select("fp_id", "window_hashes", "received_at"), "fp_id")
     return f, f.select(F.col("fp_id").alias("id"), F.explode(F.transform("window_hashes", F.lower)).alias("hash")).where("hash is not null").distinct()
@@ -223,7 +235,7 @@ def best_entry_trimmed(spark, d):
 QUERIES = {
     "fp_windows": fp_windows, "fp_functions": fp_functions, "fp_ident_ordinals": fp_ident_ordinals, "fp_operator_classes": fp_operator_classes, "sim_pairs": sim_pairs, "sim_classes": sim_classes,
     "sim_combined": sim_combined, "sim_all_pairs": sim_all_pairs, "sim_evidence": sim_evidence, "sim_best_match": sim_best_match, "sim_trimmed": sim_trimmed, "sim_exact_functions": sim_exact_functions,
-    "c_functions": c_functions, "c_similar": c_similar, "c_classes": c_classes, "c_evidence": c_evidence, "c_dict_matches": c_dict_matches,
+    "c_functions": c_functions, "c_similar": c_similar, "c_classes": c_classes, "c_evidence": c_evidence, "c_dict_matches": c_dict_matches, "c_dict_evidence": c_dict_evidence,
     "dict_matches": dict_matches, "dict_results": dict_results, "dict_errors": dict_errors, "dict_summary": dict_summary, "dict_validate": dict_validate, "best_entry_trimmed": best_entry_trimmed,
 }
 _OPS = "case " + " ".join(f"when op in ({', '.join(repr(o) for o in ops)}) then '{c}'" for c, ops in CLASSES.items()) + " else op end"

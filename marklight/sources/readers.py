@@ -17,13 +17,32 @@ from pyspark.sql import functions as F
 MAX_ENTRIES, MAX_BYTES = 10_000, 1 << 30
 
 
-def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``path`` relative to ``root``, ``length``, ``modified`` and ``content`` of every file under it."""
+def read_tree(spark: SparkSession, root: str, glob: str | None = None, prefix: str = "") -> DataFrame:
+    """``path`` relative to ``root``, ``length``, ``modified`` and ``content`` of every file under it whose path begins with ``prefix``.
+
+    As in an object store a prefix is a beginning of the path, not a folder: ``run1`` also begins ``run12/a``. ``root`` may be on
+    any file system the session knows.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     base = "^(?:file:/*)?/?" + re.escape(re.sub(r"^file:/*", "", root).strip("/")) + "/"
-    return r.load(root).select(F.regexp_replace("path", base, "").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    tree = r.load(root).select(F.regexp_replace("path", base, "").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    return tree.where(F.col("path").startswith(prefix)) if prefix else tree
+
+
+def submission_sources(tree: DataFrame, folders: DataFrame) -> DataFrame:
+    """``submission_id, path, name, content``: the C files of each submission of ``leaf_folders``, from the files of a tree.
+
+    A submission's id is the name of its folder, numbered apart if several have it; files of other folders are left out.
+    """
+    from marklight.operators.files import numbered_ids
+
+    ids = folders.select("folder", F.explode("c_files").alias("name")).withColumn("base", F.element_at(F.split("folder", "/"), -1))
+    own = numbered_ids(ids.select("folder", "base").distinct(), "base", ["folder"]).select("folder", F.col("unique_id").alias("submission_id"))
+    path = F.when(F.col("folder") == ".", F.col("name")).otherwise(F.concat_ws("/", "folder", "name"))
+    wanted = ids.join(own, "folder").select("submission_id", "name", path.alias("path"))
+    return tree.select("path", "content").join(wanted, "path").select("submission_id", "path", "name", "content")
 
 
 def safe_name(name: str) -> str | None:

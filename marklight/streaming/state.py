@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -118,6 +119,33 @@ def read_stream(spark: SparkSession, folder: str, name: str, batch_bytes: int =
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxBytesPerTrigger", str(batch_bytes)).parquet(f"{folder}/{name}.parquet*")
 
 
+def notify(spark: SparkSession, on_start=None, on_batch=None, on_end=None) -> StreamingQueryListener:
+    """Call back as streams go: ``on_start(name)``, ``on_batch(name, batch, rows)`` and ``on_end(name, error)``, in the driver.
+
+    Gives the listener, for ``spark.streams.removeListener``. A callback that raises doesn't stop the stream.
+    """
+
+    class Calls(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            if on_start:
+                on_start(event.name)
+
+        def onQueryProgress(self, event):
+            if on_batch:
+                on_batch(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            if on_end:
+                on_end(str(event.id), event.exception)
+
+    listener = Calls()
+    spark.streams.addListener(listener)
+    return listener
+
+
 def drained(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
     """What a stream gives until its present input is used up, by way of a parquet sink with a checkpoint under ``at``.
 

@@ -118,3 +118,30 @@ def test_export(spark):
     assert {(r.entry, bytes(r.content)) for r in e.collect()} == {("Ann/bin/main", b"m"), ("Ann/in.txt", b"new"), ("Bo/in.txt", b"new"), ("top", b"t")}
     z = {r.folder: zipfile.ZipFile(io.BytesIO(bytes(r.archive))) for r in readers.export_archives(e).collect()}
     assert z["Ann"].namelist() == ["Ann/bin/main", "Ann/in.txt"] and z["Bo"].read("Bo/in.txt") == b"new" and z[""].namelist() == ["top"]
+
+
+def test_prefixes_and_submissions(spark, tmp_path):
+    for name in ("run1/s/a.c", "run1/t/s/b.C", "run12/s/c.c", "run1/t/s/n.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert {r.path for r in readers.read_tree(spark, str(tmp_path), prefix="run1").collect()} == {"run1/s/a.c", "run1/t/s/b.C", "run12/s/c.c", "run1/t/s/n.txt"}
+    tree = readers.read_tree(spark, str(tmp_path), prefix="run1/")
+    got = {(r.submission_id, r.path, bytes(r.content).decode()) for r in readers.submission_sources(tree, files.leaf_folders(tree)).collect()}
+    assert got == {("s", "run1/s/a.c", "run1/s/a.c"), ("s-2", "run1/t/s/b.C", "run1/t/s/b.C")}
+
+
+def test_callbacks_of_streams(spark, tmp_path):
+    import time
+
+    spark.range(5).write.parquet(f"{tmp_path}/e.parquet")
+    seen = []
+    listener = state.notify(spark, lambda n: seen.append("start"), lambda n, b, rows: seen.append(rows), lambda n, e: seen.append("end"))
+    try:
+        assert state.drained(state.read_stream(spark, str(tmp_path), "e"), str(tmp_path / "q")).count() == 5
+        for _ in range(100):
+            if "end" in seen:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen[0] == "start" and 5 in seen and seen[-1] == "end"
