@@ -15,12 +15,15 @@ TOKEN = re.compile(
     |(?P<op>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&^|]=|[-+*/%&^|~!<>=?:.,;(){}\[\]\#\\@`$])""",
     re.X | re.S,
 )
+# The keywords of C, and names of types that count like them.
 KEYWORDS = set(
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed "
     "sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary _Alignas _Alignof _Atomic _Generic _Noreturn _Static_assert _Thread_local".split()
 )
 PRIMITIVES = set("bool char int8_t uint8_t int16_t uint16_t int32_t uint32_t int64_t uint64_t size_t ssize_t intptr_t uintptr_t ptrdiff_t void int long float double".split())
+# Words before a parenthesis that are no callees.
 NOT_CALLS = {"if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "_Alignof", "_Generic", "_Static_assert", "goto"}
+# Punctuation that is dropped, and the class that stands for each operator.
 PUNCTUATION = set("( ) { } [ ] ; , .".split())
 CLASSES = {
     "@ASSIGN": "= += -= *= /= %= &= |= ^= <<= >>=".split(),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -123,11 +125,13 @@ def _calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, content in zip(pdf["id"], pdf["content"]):
             if not content:
                 continue
+            starts = [0, *(m.end() for m in re.finditer(b"\n", content))]
             for name, at in ctok.calls(content):
-                begin = content.rfind(b"\n", 0, at) + 1
-                end = content.find(b"\n", at)
-                line = content[begin : end if end >= 0 else len(content)].decode("latin-1").strip(" \t\r\f\v").encode("latin-1")
-                out.append((key, name, content.count(b"\n", 0, at) + 1, at - begin + 1, line if len(line) <= 80 else line[:77] + b"..."))
+                no = bisect_right(starts, at)
+                begin = starts[no - 1]
+                end = starts[no] - 1 if no < len(starts) else len(content)
+                line = content[begin:end].decode("latin-1").strip(" \t\r\f\v").encode("latin-1")
+                out.append((key, name, no, at - begin + 1, line if len(line) <= 80 else line[:77] + b"..."))
         yield pd.DataFrame(out, columns=cols)
 
 

@@ -43,6 +43,7 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.replace(c, F.lit(","), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+#: How the memory checker names its kinds of leaks.
 LEAKS = {"definitely_lost": "definitely lost", "indirectly_lost": "indirectly lost", "possibly_lost": "possibly lost", "still_reachable": "still reachable"}
 
 
@@ -54,6 +55,7 @@ def memory_log(log: Column, own_path: Column | None = None) -> Column:
     without any known line has status ``fail`` with all numbers 0.
     """
     got = lambda p, g=1: F.regexp_extract(log, p, g)
+    # fixed values: the lines as the memory checker writes them
     errors = got(r"ERROR SUMMARY:\s+([0-9,]+)\s+errors?")
     leaks = {k: F.regexp_extract_all(log, F.lit(rf"{t}:\s+([0-9,]+)\s+bytes"), F.lit(1)) for k, t in LEAKS.items()}
     fds = r"FILE DESCRIPTORS:\s+([0-9,]+)\s+open(?:\s+\(([0-9,]+)\s+std\))?"
