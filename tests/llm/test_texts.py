@@ -229,3 +229,54 @@ def test_one_article_is_no_veto(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     got = [(r.id, texts[r.id][r.start_char : r.end_char]) for r in pii.personal_spans(df).collect()]
     assert sorted(got) == [(0, "Maria Keller"), (1, "Anna Schmidt"), (2, "Anna Schmidt"), (3, "Anna Schmidt")]
+
+
+def _planted(size: int, seed: int = 6) -> tuple[list, set]:
+    """Texts of ordinary sentences with invented persons, by id, and where what was planted begins."""
+    r = random.Random(seed)
+    given = ["Maria", "Ivo", "Hedda", "Marit", "Rose", "Mark", "Ana", "Jonas", "Lucía", "Zoé"]
+    family = [f"{a}{b}" for a in ("Dun", "Kel", "Lop", "Quill", "Tarn", "Vis", "Hart", "Mor") for b in ("more", "ler", "ez", "on", "field", "by")]
+    plain = ["the mark on the wall is low", "a rose is red", "every process waits for the queue", "read the manual before the lab", "The Ring Buffer holds ten items", "the port is 8080 and version 2.31.0-4172 works", "ticket #3781-9507 is open"]
+    rows, want = [], set()
+    for i in range(size):
+        text = ". ".join(r.choice(plain) for _ in range(r.randint(1, 6))) + ". "
+        name = f"{r.choice(given)} {r.choice(family)}"
+        said = {
+            "person_name": ("yesterday I asked ", name, " about it"),
+            "email": ("write to ", f"{r.choice('abc')}.{r.choice(family).lower()}@{r.choice(['mail', 'lab'])}.example.org", " today"),
+            "phone": ("call ", f"+44 20 7946 0{r.randint(100, 999)}", " now"),
+            "id_number": ("my passport number is ", f"{r.choice('XKL')}{r.randint(10**7, 10**8 - 1)}", " here"),
+            "street_address": ("I live at ", f"{r.randint(1, 99)} {r.choice(family)} Street", " now"),
+        }
+        for kind in r.sample(sorted(said), 2):
+            before, value, after = said[kind]
+            want.add((i, kind, len(text) + len(before)))
+            text += before + value + after + ". "
+        rows.append((i, text))
+    return rows, want
+
+
+def test_recall_does_not_fall_with_size(spark):
+    for size in (80, 800):
+        rows, want = _planted(size)
+        got = {(x.id, x.pii_type, x.start_char) for x in pii.personal_spans(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+        assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want), (size, sorted(want - got)[:5], sorted(got - want)[:5])
+
+
+def test_recall_of_cut_texts(spark):
+    """Texts cut inside a word at random: most are found, and hardly any whole one."""
+    r = random.Random(11)
+    words = ["quantity", "measured", "reservation", "directory", "counting", "balance", "temperature", "scheduling", "the", "of", "record", "after"]
+    rows, want = [], set()
+    for i in range(2000):
+        text = " ".join(r.choice(words) for _ in range(r.randint(10, 40))) + r.choice([".", "", "\n"])
+        if r.random() < 0.1:
+            at = r.randrange(20, len(text))
+            while not (text[at - 1 : at + 1].isalpha() and text[at - 2].isalpha()):
+                at = r.randrange(20, len(text))
+            text = text[:at]
+            if text.split()[-1] not in words:
+                want.add(i)
+        rows.append((i, "s", "f", text))
+    got = {x.record_id for x in truncation.truncated(spark.createDataFrame(rows, "record_id bigint, source string, field_name string, text string")).collect()}
+    assert len(got & want) >= 0.98 * len(want) > 150 and len(got - want) <= 5
