@@ -59,25 +59,24 @@ OPERATORS = r"\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&^|]=|[-
 
 
 def sim_pairs(spark, d):
-    units = cut(doc_units(spark, d))
-    reps, _ = sim.classes(units)
+    reps, _ = sim.representatives(doc_units(spark, d))
     return sim.window_pairs(reps, 0.7).orderBy(F.desc("score"), "a", "b")
 
 
 def sim_classes(spark, d):
-    _, member = sim.classes(cut(doc_units(spark, d)))
+    _, member = sim.representatives(doc_units(spark, d))
     return member.select(F.col("id").alias("doc_id"), "class_id")
 
 
 def sim_combined(spark, d):
-    reps, _ = sim.classes(cut(doc_units(spark, d)))
+    reps, _ = sim.representatives(doc_units(spark, d))
     return sim.similar_records(reps, 0.7)
 
 
 def sim_all_pairs(spark, d):
     """Every document whose id is divisible by 20 with all documents it shares a window with, flagged from a score of 0.7; one
     representative of each class. Pairs that aren't listed score 0."""
-    reps, _ = sim.classes(cut(doc_units(spark, d)))
+    reps, _ = sim.representatives(doc_units(spark, d))
     return sim.query_pairs(reps, F.col("id") % 20 == 0, THRESHOLD)
 
 
@@ -85,7 +84,7 @@ def sim_evidence(spark, d):
     """For pairs of ``sim_pairs`` the windows both have, in order, and how often each document has them."""
     reps, _ = sim.classes(cut(doc_units(spark, d)))
     reps = cut(reps)
-    p = sim.window_pairs(reps, 0.7).select("a", "b")
+    p = sim.window_pairs(cut(sim.records(reps)), 0.7).select("a", "b")
     n = cut(fp.windows(reps).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")))
     e = p.join(n.select(F.col("id").alias("a"), "hash", F.col("n").alias("n_a")), "a").join(n.select(F.col("id").alias("b"), "hash", F.col("n").alias("n_b")), ["b", "hash"])
     no = F.row_number().over(Window.partitionBy("a", "b").orderBy("hash")).cast("bigint")
@@ -93,8 +92,7 @@ def sim_evidence(spark, d):
 
 
 def sim_best_match(spark, d):
-    units = cut(doc_units(spark, d))
-    reps, _ = sim.classes(units)
+    reps, _ = sim.representatives(doc_units(spark, d))
     w = sim.window_pairs(reps, 0.5)
     return sim.best_matches(w, reps).select("a", "b", "unit_score")
 
@@ -140,13 +138,13 @@ def c_functions(spark, d):
 
 def c_similar(spark, d):
     """Pairs of files (one per class of equal ones) whose normalised functions reach a combined score of 0.7."""
-    reps, _ = sim.classes(cut(file_units(spark, d)))
+    reps, _ = sim.representatives(file_units(spark, d))
     return sim.similar_records(reps, THRESHOLD).select("a", "b", "exact_matches", "window_matches", "window_union", F.round("similarity_percent", 6).alias("similarity_percent"))
 
 
 def c_classes(spark, d):
     """Class of every file with functions: files with equal bags of normalised functions share one, named by the smallest id."""
-    _, member = sim.classes(cut(file_units(spark, d)))
+    _, member = sim.representatives(file_units(spark, d))
     return member.select(F.col("id").alias("file_id"), "class_id")
 
 
@@ -156,7 +154,7 @@ def c_evidence(spark, d):
     units = cut(fp.c_units(files))
     reps, _ = sim.classes(units)
     reps = cut(reps)
-    p = sim.similar_records(reps, THRESHOLD).select("a", "b")
+    p = sim.similar_records(cut(sim.records(reps)), THRESHOLD).select("a", "b")
     e = sim.evidence(p, reps, files)
     text = lambda c: F.transform(c, lambda s: s.withField("snippet", F.hex(s["snippet"])))
     return e.select("a", "b", "match_no", "hash8", F.size("spans_a").cast("bigint").alias("n_spans_a"), F.size("spans_b").cast("bigint").alias("n_spans_b"), text("spans_a").alias("spans_a"), text("spans_b").alias("spans_b"))

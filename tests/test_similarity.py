@@ -44,7 +44,7 @@ def brute(rows, threshold):
 @pytest.mark.parametrize("threshold", [0.45, 0.7])
 def test_combined_score_is_brute_force(spark, threshold):
     rows = docs()
-    reps, member = sim.classes(units_of(spark, rows))
+    reps, member = sim.representatives(units_of(spark, rows))
     got = {(r.a, r.b): r.similarity_percent / 100 for r in sim.similar_records(reps, threshold).collect()}
     want = brute(rows, threshold)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and got
@@ -52,7 +52,7 @@ def test_combined_score_is_brute_force(spark, threshold):
 
 
 def test_empty(spark):
-    reps, _ = sim.classes(units_of(spark, [(1, None, None, None)]))
+    reps, _ = sim.representatives(units_of(spark, [(1, None, None, None)]))
     assert sim.window_pairs(reps, 0.7).count() == 0
 
 
@@ -79,8 +79,7 @@ def test_evidence_spans(spark):
 
 
 def test_queries_with_all_records(spark):
-    u = units_of(spark, docs())
-    reps, _ = sim.classes(u)
+    reps, _ = sim.representatives(units_of(spark, docs()))
     want = brute(docs(), 1e-12)
     for pick in (lambda i: i % 5 == 0, lambda i: i >= 0):
         got = {(r.a, r.b): (r.similarity_percent / 100, r.flagged) for r in sim.query_pairs(reps, F.col("id") % 5 == 0 if pick(1) is False else F.lit(True), 0.7).collect()}
