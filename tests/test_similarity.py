@@ -87,6 +87,28 @@ def test_queries_with_all_records(spark):
         assert got.keys() == some.keys() and all(abs(got[k][0] - v) < 1e-9 and got[k][1] == (v >= 0.7 - 1e-9) for k, v in some.items())
 
 
+def crowd(n=60):
+    """Texts of a few lines out of twelve: nearly all share windows."""
+    r = random.Random(5)
+    lines = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randint(6, 15))) for _ in range(12)]
+    return [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 12))), "x", 1) for i in range(n)]
+
+
+def test_crowded_records_meet_in_blocks(spark, monkeypatch):
+    for name, value in (("LEAST", 700), ("MOST", 900)):  # several blocks
+        monkeypatch.setattr(f"marklight.operators.blocks.{name}", value)
+    reps, _ = sim.representatives(units_of(spark, crowd()))
+    df = sim.similar_records(reps, 0.7)
+    assert "hashpartitioning(a" not in df._jdf.queryExecution().toString()  # pairs are not shuffled
+    want = brute(crowd(), 0.7)
+    got = {(r.a, r.b): r for r in df.collect()}
+    assert got.keys() == want.keys() and len(got) > 20 and all(abs(got[k].similarity_percent / 100 - want[k]) < 1e-9 and got[k].flagged for k in got)
+    sets = {r.id: ([u["hash"] for u in r.units], set(r.windows)) for r in reps.collect()}
+    for (a, b), r in got.items():
+        (ua, wa), (ub, wb) = sets[a], sets[b]
+        assert (r.function_count_a, r.function_count_b, r.exact_matches, r.window_matches, r.window_union) == (len(ua), len(ub), len(set(ua) & set(ub)), len(wa & wb), len(wa | wb))
+
+
 def test_dictionary(spark):
     sets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z"), (3, "a")], "id int, hash string")
     entries = spark.createDataFrame([(7, "a"), (7, "b"), (8, "a")], "entry int, hash string")
