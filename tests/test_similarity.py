@@ -109,6 +109,21 @@ def test_crowded_records_meet_in_blocks(spark, monkeypatch):
         assert (r.function_count_a, r.function_count_b, r.exact_matches, r.window_matches, r.window_union) == (len(ua), len(ub), len(set(ua) & set(ub)), len(wa & wb), len(wa | wb))
 
 
+def test_query_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr("marklight.operators.blocks.LEAST", 700)
+    monkeypatch.setattr("marklight.operators.blocks.MOST", 900)
+    reps, _ = sim.representatives(units_of(spark, crowd()))
+    want = brute(crowd(), 1e-12)
+    for query in (F.col("id") % 3 == 0, F.col("id") < 0, F.when(F.col("id") > 9, True)):
+        df = sim.query_pairs(reps, query, 0.7)
+        assert "hashpartitioning(a" not in df._jdf.queryExecution().toString()
+        picked = {r.id for r in reps.where(query).collect()}
+        rows = df.collect()
+        got = {(r.a, r.b): (r.similarity_percent / 100, r.flagged) for r in rows}
+        some = {k: v for k, v in want.items() if picked & {*k}}
+        assert len(rows) == len(got) and got.keys() == some.keys() and all(abs(got[k][0] - v) < 1e-9 and got[k][1] == (v >= 0.7 - 1e-9) for k, v in some.items())
+
+
 def test_dictionary(spark):
     sets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z"), (3, "a")], "id int, hash string")
     entries = spark.createDataFrame([(7, "a"), (7, "b"), (8, "a")], "entry int, hash string")
