@@ -1,9 +1,12 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marklight.operators import detection, fingerprint as fp, similarity as sim
+from marklight.functions import ctok
+from marklight.operators import detection, fingerprint as fp, matches, similarity as sim
 
 
 def units_of(spark, docs):
@@ -78,6 +81,52 @@ def test_evidence_spans(spark):
             assert bytes(s.snippet) == data[key][s.start : s.end].replace(b"\n", b" ").strip()
 
 
+def test_evidence_is_looked_up_in_blocks(spark, monkeypatch):
+    for name, value in (("LEAST", 60), ("MOST", 90)):  # several blocks
+        monkeypatch.setattr(f"marklight.operators.matches.{name}", value)
+    r = random.Random(8)
+    parts = [b"x = y + 1;", b"if (x > 2) { y--; }\n", b"z(x, \"s\");", b"while (y) y = x & 4;\n", b"y += x * y - 3;", b"x = !z(y);\n\n", b"do { x++; } while (x != 'c');"]
+    codes = {i: b"/* \n */" * (i % 3) + b"".join(b"int f%d(int x, int y)\n { " % k + b" ".join(r.choices(parts, k=r.randint(3, 9))) + b" }\n" for k in range(r.randint(1, 3))) for i in range(-4, 14)} | {20: b"int x;", 21: None}
+    spans = {}
+    for i, code in codes.items():
+        for *_, t, starts, ends in ctok.function_tokens(code):
+            for k in range(len(t) - 4 if len(t) >= 20 else 0):
+                spans.setdefault(i, {}).setdefault(hashlib.sha256(" ".join(t[k : k + 5]).encode()).hexdigest(), []).append((starts[k], ends[k + 4]))
+
+    def places(i, h):
+        out, code = [], codes[i]
+        for s, e in sorted(spans[i][h]):
+            out[-1:] = [(out[-1][0], max(out[-1][1], e))] if out and s <= out[-1][1] else [*out[-1:], (s, e)]
+        at = lambda p: (code.count(b"\n", 0, p) + 1, p - code.rfind(b"\n", 0, p))
+        text = lambda s, e: code[s:e].replace(b"\n", b" ").strip()
+        return [(s, e, *at(s), *at(e), text(s, e) if len(text(s, e)) <= 80 else text(s, e)[:77] + b"...") for s, e in out]
+
+    pairs = [(i, j) for i in codes for j in codes if i < j and r.random() < 0.5 or i == j + 7]
+    want = {(a, b, no): (h, places(a, h), places(b, h)) for a, b in pairs for no, h in enumerate(sorted(spans.get(a, {}).keys() & spans.get(b, {}).keys()), 1)}
+    assert len(want) > 500 and max(len(x[1]) for x in want.values()) > 1
+    row = lambda x: (x.hash, *([(*s[:6], bytes(s.snippet)) for s in side] for side in (x.spans_a, x.spans_b)))
+    for kind, name in (("int", int), ("bigint", int), ("string", str)):
+        f = spark.createDataFrame([(name(i), c and bytearray(c)) for i, c in codes.items()], f"id {kind}, content binary")
+        p = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"a {kind}, b {kind}")
+        df = sim.evidence(p, fp.c_units(f), f)
+        assert kind == "string" or "hashpartitioning(a" not in df._jdf.queryExecution().toString()  # rows of windows are not shuffled
+        rows = df.collect()
+        assert len(rows) == len(want) and {(int(x.a), int(x.b), x.match_no): row(x) for x in rows} == want and all(x.hash8 == x.hash[:8] for x in rows)
+        assert df.schema["a"].dataType == f.schema["id"].dataType and sim.evidence(p.limit(0), fp.c_units(f), f).count() == 0
+
+
+def test_shared_windows_a_few_at_a_time(monkeypatch):
+    r = random.Random(2)
+    have = {i: sorted(r.sample(range(30), r.randint(1, 12))) for i in (5, 3, 9, -2, 7)}
+    a, b = np.array([(i, j) for i in (*have, 4) for j in (*have, 4) if i != j]).T
+    parts = [np.array([*have]), np.array([len(x) for x in have.values()]), np.array(sum(have.values(), []))]
+    want = sorted((i, j, no, c, c) for i in have for j in have if i != j for no, c in enumerate(sorted({*have[i]} & {*have[j]}), 1))
+    for some in (3, 20, 10_000):
+        monkeypatch.setattr("marklight.operators.matches.SENT", some)
+        got = [x for a_, b_, no, left, right in matches._shared(a, b, *parts, 30) for x in zip(a_, b_, no, parts[2][left], parts[2][right])]
+        assert sorted(got) == want
+
+
 def test_queries_with_all_records(spark):
     reps, _ = sim.representatives(units_of(spark, docs()))
     want = brute(docs(), 1e-12)
