@@ -173,6 +173,24 @@ def test_query_pairs_are_not_shuffled(spark, monkeypatch):
         assert len(rows) == len(got) and got.keys() == some.keys() and all(abs(got[k][0] - v) < 1e-9 and got[k][1] == (v >= 0.7 - 1e-9) for k, v in some.items())
 
 
+def test_blocks_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr("marklight.operators.blocks.LEAST", 700)
+    monkeypatch.setattr("marklight.operators.blocks.MOST", 900)
+    rows = crowd() + [(60, crowd()[7][1], None, None), (61, None, None, None), (62, "a b", None, None), (-4, crowd()[3][1] + "\n" + crowd()[3][1], None, None)]
+    reps, member = sim.unit_texts(units_of(spark, rows))
+    assert {r.id: r.class_id for r in member.collect()}[60] == 7
+    df = sim.query_pairs(reps, F.col("id") % 3 == 0, 0.7)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # not a copy of a block for every block it meets: pairs of blocks are made behind the last shuffle
+    assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")] and "NestedLoop" not in plan
+    want = {k: v for k, v in brute(rows, 1e-12).items() if k[0] % 3 == 0 or k[1] % 3 == 0}
+    got = {(r.a, r.b): (r.similarity_percent / 100, r.flagged) for r in df.collect()}
+    assert df.count() == len(got) > 100 and got.keys() == want.keys() and all(abs(got[k][0] - v) < 1e-9 and got[k][1] == (v >= 0.7 - 1e-9) for k, v in want.items())
+    old = sim.query_pairs(sim.representatives(units_of(spark, rows))[0], F.col("id") % 3 == 0, 0.7)
+    key = lambda df: sorted((*r[:7], round(r[7], 9), r[8]) for r in df.collect())
+    assert key(old) == key(df)
+
+
 def test_dictionary(spark):
     sets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z"), (3, "a")], "id int, hash string")
     entries = spark.createDataFrame([(7, "a"), (7, "b"), (8, "a")], "entry int, hash string")
