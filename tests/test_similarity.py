@@ -115,6 +115,29 @@ def test_evidence_is_looked_up_in_blocks(spark, monkeypatch):
         assert df.schema["a"].dataType == f.schema["id"].dataType and sim.evidence(p.limit(0), fp.c_units(f), f).count() == 0
 
 
+def test_evidence_of_crowded_files_needs_no_table_of_pairs(spark, monkeypatch):
+    for name, value in (("LEAST", 300), ("MOST_OF_FILES", 900), ("PAIRS", 40)):  # several blocks
+        monkeypatch.setattr(f"marklight.operators.matches.{name}", value)
+    r = random.Random(9)
+    parts = [b"x = y + 1;", b"if (x > 2) { y--; }\n", b"z(x, \"s\");", b"while (y) y = x & 4;\n", b"x = y + 1; x = y + 1;\t\x0b", b"/* \n" + b"long " * 30 + b"*/ y += x;"]
+    funcs = [b"int f%d(int x, int y)\n { " % k + b" ".join(r.choices(parts, k=r.randint(4, 9))) + b" }\n" for k in range(9)]
+    codes = {i: b"/* \n */" * (i % 3) + b"".join(r.choices(funcs, k=r.randint(2, 6))) for i in range(-3, 40)} | {50: b"int x;", 51: None, 52: b""}
+    codes[60] = codes[5]
+    for kind in ("int", "bigint"):
+        f = spark.createDataFrame([(i, c and bytearray(c)) for i, c in codes.items()], f"id {kind}, content binary")
+        reps, _ = sim.classes(fp.c_units(f))
+        pairs = sim.similar_records(sim.records(reps), 0.7).select("a", "b")
+        columns = (*sim.EVIDENCE, "n_spans_a", "n_spans_b")
+        for hexed in (False, True):
+            df = sim.similar_evidence(f, fp.c_units(f), 0.7, hexed, columns)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")]
+            want, rows = sim.evidence(pairs, reps, f, hexed=hexed, columns=columns), df.collect()
+            assert len(rows) > 2000 and max(len(x.spans_a) for x in rows) > 1 and df.schema.simpleString() == want.schema.simpleString()
+            assert sorted(rows, key=lambda x: x[:3]) == sorted(want.collect(), key=lambda x: x[:3])
+        assert sim.similar_evidence(f.where("id > 49"), fp.c_units(f.where("id > 49")), 0.7).count() == 0
+
+
 def test_shared_windows_a_few_at_a_time(monkeypatch):
     r = random.Random(2)
     have = {i: sorted(r.sample(range(30), r.randint(1, 12))) for i in (5, 3, 9, -2, 7)}
